@@ -1,0 +1,141 @@
+"""Mixing and packing against plain versions."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
+
+from goldpan.llm import mixing, packing
+
+
+def plain_best_fit(sizes, capacity):
+    bins = []
+    for s in sorted(sizes, reverse=True):
+        fit = [b for b in bins if b[0] >= s]
+        if fit:
+            b = min(fit, key=lambda b: b[0])
+            b[0] -= s
+        else:
+            bins.append([capacity - s])
+    return sorted(b[0] for b in bins)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_best_fit_is_the_one_by_one_packing(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([7, 16, 100, 1024])
+    sizes = [rng.choice([1, capacity, rng.randint(1, capacity), rng.randint(1, max(1, capacity // 4))]) for _ in range(rng.randint(1, 300))]
+    counts = {s: sizes.count(s) for s in set(sizes)}
+    filled, seen = {}, {s: set() for s in counts}
+    for size, rank, n, each, first, offset in packing.best_fit(counts, capacity):
+        for k in range(n):
+            assert rank + k not in seen[size]
+            seen[size].add(rank + k)
+            filled.setdefault(first + k // each, []).append((offset + k % each * size, size))
+    assert {s: len(x) for s, x in seen.items()} == counts
+    for spans in filled.values():
+        at = 0
+        for offset, size in sorted(spans):
+            assert offset == at
+            at += size
+        assert at <= capacity
+    assert sorted(capacity - sum(s for _, s in x) for x in filled.values()) == plain_best_fit(sizes, capacity)
+
+
+def test_segment_tree():
+    rng, tree, held = random.Random(1), packing.OpenBins(50), [0] * 51
+    for _ in range(500):
+        i = rng.randint(1, 50)
+        d = -1 if held[i] and rng.random() < 0.6 else 1
+        held[i] += d
+        tree.add(i, d)
+        s = rng.randint(1, 50)
+        assert tree.tightest(s) == next((r for r in range(s, 51) if held[r]), None)
+
+
+def test_pieces():
+    assert packing.pieces_of(1, 4) == [(0, 1)]
+    assert packing.pieces_of(4, 4) == [(0, 4)]
+    assert packing.pieces_of(9, 4) == [(0, 1), (1, 4), (5, 4)]
+
+
+def test_packing_edges(spark):
+    docs = spark.createDataFrame([(1, None, 9), (None, "", 9), (2, "a b " * 3000, 9), (2, "a b " * 3000, 9), (3, "ünï <|endoftext|> 語", 9)], "doc_id long, text string, length int")
+    got = packing.pack_documents(docs).collect()
+    encode = packing.tokenizer(packing.default_tokenizer())
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.default_tokenizer())
+    whole.encode_special_tokens = True
+    for text in ("a b " * 30, "ünï <|endoftext|> 語", "tab\t\n  x", "don't STOP 123"):
+        assert encode(text) == whole.encode(text, add_special_tokens=False).ids
+    ids = np.array([*encode("a b " * 3000), 2], "<u4")
+    mine = sorted((r for r in got if r.doc_id == 2), key=lambda r: (r.piece, r.sequence_id))
+    assert sum(r.length for r in mine) == 2 * len(ids)
+    assert {(r.start, r.ids_crc32) for r in mine} == {(s, zlib.crc32(ids[s : s + n].tobytes())) for s, n in packing.pieces_of(len(ids), 1024)}
+    assert [r.length for r in got if r.doc_id in (None, 1)] == [1, 1]
+    at = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at.get(r.sequence_id, 0)
+        at[r.sequence_id] = r.offset + r.length
+    assert max(at.values()) <= 1024
+    assert packing.pack_documents(docs.limit(0)).count() == 0
+
+
+def plain_mix(rows, weights=(1, 2, 3), top=3):
+    """rows: (doc_id, size, source, key)."""
+    names = sorted({r[2] for r in rows}, key=lambda s: (s is None, s))
+    size = {s: sum(r[1] for r in rows if r[2] == s) for s in names}
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    target, free, left = {}, set(names), sum(size.values())
+    while free:
+        level = left / sum(w[s] for s in free)
+        stop = {s for s in free if top * size[s] <= w[s] * level}
+        if not stop:
+            target |= {s: w[s] * level for s in free}
+            break
+        target |= {s: float(top * size[s]) for s in stop}
+        left -= sum(top * size[s] for s in stop)
+        free -= stop
+    copies = []
+    for s in names:
+        sent = 0
+        mine = sorted((r for r in rows if r[2] == s), key=lambda r: (r[3], r[0]))
+        for e in range(top):
+            for r in mine:
+                sent += r[1]
+                if r[1]:
+                    copies.append((sent / target[s], r[3], r[0], e, r[1]))
+    taken, total = dict.fromkeys((r[0] for r in rows), 0), 0
+    for _, _, doc, _, n in sorted(copies):
+        total += n
+        if total > sum(size.values()):
+            break
+        taken[doc] += n
+    return target, taken
+
+
+def test_mixing_against_a_plain_version(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join("x" * rng.randint(0, 40)), rng.choice(["a", "a", "a", "a", "b", "c", "é", None]), 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int").withColumn("_key", F.lit(1))
+    got = mixing.mix(docs).collect()
+    keys = {r.doc_id: r.k for r in docs.select("doc_id", mixing.shuffle_key(F.col("doc_id")).alias("k")).collect()}
+    target, taken = plain_mix([(i, len(t.split()), s, keys[i]) for i, t, s, _ in rows])
+    assert {r.doc_id: r.taken for r in got} == taken
+    for r in got:
+        assert r.target == pytest.approx(target[r.source])
+        assert r.taken <= 3 * r.size and r.taken == r.copies * r.size
+
+
+def test_mixing_edges(spark):
+    schema = "doc_id long, text string, source string"
+    assert mixing.mix(spark.createDataFrame([], schema)).count() == 0
+    odd = spark.createDataFrame([(1, None, None), (1, None, None), (None, "", "a"), (2, "x y", "a"), (2, "x y", "a"), (3, "z " * 5000, "b")], schema)
+    got = mixing.mix(odd).collect()
+    assert len(got) == 6 and all(r.taken == 0 for r in got if not r.size)
+    assert sum(r.taken for r in got) <= sum(r.size for r in got)
+    assert mixing.mix(odd.where("text is null or text = ''")).agg(F.sum("taken")).first() == Row(**{"sum(taken)": 0})
