@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from goldpan.llm.line_dedup import op10_line_dedup
 from goldpan.llm.mixing import op7_mixing
 from goldpan.llm.packing import op8_packing
 
 QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE = {}
@@ -41,3 +43,32 @@ c AS (
 SELECT c.doc_id, c.size, c.source_size, c.target, (c.size * coalesce(n.copies, 0))::BIGINT AS taken
 FROM c LEFT JOIN n USING (doc_id)
 """
+
+ORACLE["op10_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, text FROM documents),
+l AS (
+  SELECT doc_id, generate_subscripts(x, 1) - 1 AS no, unnest(x) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM d WHERE text IS NOT NULL)
+), w AS MATERIALIZED (
+  SELECT doc_id, no, list_sort(list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'))) AS w FROM l
+), s AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, w, len(w) AS n, min((doc_id, no)) AS place FROM w WHERE len(w) > 0 GROUP BY w
+), t AS (SELECT id, n, place, unnest(w) AS t FROM s),
+f AS (SELECT t, count(*) AS f FROM t GROUP BY t),
+p AS MATERIALIZED (
+  SELECT id, n, place, t FROM (
+    SELECT t.*, row_number() OVER (PARTITION BY id ORDER BY f, t.t) AS r FROM t JOIN f ON t.t = f.t
+  ) WHERE r <= n - (n * 80 + 99) // 100 + 1
+), c AS (
+  SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.t = b.t AND a.place < b.place AND a.n * 10 >= b.n * 8 AND b.n * 10 >= a.n * 8
+), m AS (
+  SELECT DISTINCT b FROM c JOIN s x ON x.id = c.a JOIN s y ON y.id = c.b
+  WHERE len(list_intersect(x.w, y.w)) * 180 >= (x.n + y.n) * 80
+), g AS (
+  SELECT w.doc_id, w.no, s.id IS NOT NULL AND (m.b IS NOT NULL OR (w.doc_id, w.no) <> s.place) AS gone
+  FROM w LEFT JOIN s ON w.w = s.w LEFT JOIN m ON m.b = s.id
+)
+SELECT d.doc_id, count(g.no) AS n_lines, count(*) FILTER (gone) AS n_removed,
+       coalesce(string_agg(g.no::VARCHAR, ',' ORDER BY g.no) FILTER (gone), '') AS removed
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id GROUP BY d.doc_id
+"""
