@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from goldpan.llm.language import op5_language
 from goldpan.llm.line_dedup import op10_line_dedup
 from goldpan.llm.mixing import op7_mixing
 from goldpan.llm.packing import op8_packing
+from goldpan.llm.simhash import op2_simhash
+from goldpan.llm.substrings import op6_substrings
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op5_language": op5_language,
+    "op6_substrings": op6_substrings,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
     "op10_line_dedup": op10_line_dedup,
@@ -72,3 +78,22 @@ SELECT d.doc_id, count(g.no) AS n_lines, count(*) FILTER (gone) AS n_removed,
        coalesce(string_agg(g.no::VARCHAR, ',' ORDER BY g.no) FILTER (gone), '') AS removed
 FROM d LEFT JOIN g ON d.doc_id = g.doc_id GROUP BY d.doc_id
 """
+
+ORACLE["op6_substrings"] = r"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(x, 1) - 1 AS unit, unnest(x) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)
+), o AS (
+  SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit) - length(line) - 1 AS start,
+         regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS w FROM l
+), u AS (
+  SELECT doc_id, unit, start, length(line) AS length, len(w) AS words, list_aggregate(w, 'string_agg', ' ') AS t,
+         row_number() OVER (PARTITION BY doc_id ORDER BY start) AS no FROM o WHERE len(w) > 0
+), k AS (
+  SELECT *, first_value(doc_id) OVER x AS keeper_id, first_value(start) OVER x AS keeper_start, row_number() OVER x AS r
+  FROM u WINDOW x AS (PARTITION BY t ORDER BY doc_id, start)
+), p AS (SELECT *, no - row_number() OVER (PARTITION BY doc_id ORDER BY no) AS run FROM k WHERE r > 1),
+q AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS total FROM p)
+SELECT doc_id, unit::INT AS unit, start::BIGINT AS start, length::BIGINT AS length, words::INT AS words,
+       keeper_id, keeper_start::BIGINT AS keeper_start FROM q WHERE total >= 50
+"""
