@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from goldpan.llm.ann import op1_cross_polytope
 from goldpan.llm.language import op5_language
 from goldpan.llm.line_dedup import op10_line_dedup
 from goldpan.llm.mixing import op7_mixing
 from goldpan.llm.packing import op8_packing
 from goldpan.llm.simhash import op2_simhash
 from goldpan.llm.substrings import op6_substrings
+from goldpan.llm.topk import op9_pivot_topk
 
 QUERIES = {
+    "op1_cross_polytope": op1_cross_polytope,
     "op2_simhash": op2_simhash,
     "op5_language": op5_language,
     "op6_substrings": op6_substrings,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
+    "op9_pivot_topk": op9_pivot_topk,
     "op10_line_dedup": op10_line_dedup,
 }
 
@@ -97,3 +101,14 @@ q AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS total FROM p)
 SELECT doc_id, unit::INT AS unit, start::BIGINT AS start, length::BIGINT AS length, words::INT AS words,
        keeper_id, keeper_start::BIGINT AS keeper_start FROM q WHERE total >= 50
 """
+
+ORACLE["op9_pivot_topk"] = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, x.vec_id, max(list_inner_product(q.v, x.v)::BIGINT) AS score
+  FROM e q JOIN e x ON q.vec_id <> x.vec_id WHERE q.vec_id % 100 = 0 GROUP BY ALL
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
