@@ -51,17 +51,17 @@ def targets(per_source: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_rep
     return ranked.select("source", "source_size", F.least(F.col("_cap").cast("double"), F.col("_w") * F.col("_water")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, scratch: Scratch | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, row: Column | None = None, scratch: Scratch | None = None) -> DataFrame:
     """A row for each document: doc_id, source, size, source_size, target, copies, taken, row_id.
 
     ``size`` replaces the word count. ``weights`` go to the sources in code-point order, null last,
-    and repeat. ``row_id`` numbers the rows of the table that was read.
+    and repeat. ``row_id`` numbers the rows of the table that was read, or is the column ``row``.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "mixing")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long")) if size is None else size
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), shuffle_key(F.col(id_col)).alias("_key"))
-    slim = slim.withColumns({"_bucket": F.shiftright("_key", 60 - (BUCKETS - 1).bit_length()).cast("int"), "row_id": F.monotonically_increasing_id()})
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), shuffle_key(F.col(id_col)).alias("_key"), *([] if row is None else [row.alias("_row")]))
+    slim = slim.withColumns({"_bucket": F.shiftright("_key", 60 - (BUCKETS - 1).bit_length()).cast("int"), "row_id": F.monotonically_increasing_id()} | ({} if row is None else {"row_id": F.col("_row")})).drop("_row")
     slim = scratch.table(slim, "sizes")
 
     ranges = slim.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
@@ -112,6 +112,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     return timed.select("doc_id", "source", "size", "source_size", "target", count.alias("copies"), (F.col("size") * count).alias("taken"), "row_id")
 
 
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Every document as often as the mix takes it, all columns as they were; not those without a word."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    # Row numbers that are written down hold when a lost executor's part is read again.
+    stored = scratch.table(docs.withColumn("_goldpan_row", F.monotonically_increasing_id()), "documents")
+    found = mix(stored, weights, max_repeats, id_col, text_col, source_col, row=F.col("_goldpan_row"), scratch=scratch)
+    taken = found.where("copies > 0").select(F.col("row_id").alias("_goldpan_id"), F.col("copies").alias("_goldpan_copies"))
+    out = stored.join(taken, F.col("_goldpan_row") == F.col("_goldpan_id"))
+    out = out.withColumn("_goldpan_copy", F.explode(F.sequence(F.lit(1), F.col("_goldpan_copies"))))
+    return out.select(*docs.columns)
+
+
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     """All documents, mixed: doc_id, size, source_size, target, taken."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
