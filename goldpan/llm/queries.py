@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from goldpan.llm.ann import op1_cross_polytope
 from goldpan.llm.language import op5_language
+from goldpan.llm.licences import op3_licences
 from goldpan.llm.line_dedup import op10_line_dedup
+from goldpan.llm.lm import op4_pseudo_likelihood
 from goldpan.llm.mixing import op7_mixing
 from goldpan.llm.packing import op8_packing
 from goldpan.llm.simhash import op2_simhash
@@ -14,6 +16,8 @@ from goldpan.llm.topk import op9_pivot_topk
 QUERIES = {
     "op1_cross_polytope": op1_cross_polytope,
     "op2_simhash": op2_simhash,
+    "op3_licences": op3_licences,
+    "op4_pseudo_likelihood": op4_pseudo_likelihood,
     "op5_language": op5_language,
     "op6_substrings": op6_substrings,
     "op7_mixing": op7_mixing,
