@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,14 @@ class Scratch:
         out._goldpan_path = path
         return out
 
+    def sweep(self) -> None:
+        """Have the shuffle files of finished queries deleted now.
+
+        Spark deletes them once the driver's garbage is collected, by default every half hour.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
         jvm = self.spark._jvm
