@@ -10,7 +10,7 @@ Training, in numpy: sentences of the templates, whole, in runs of two or three a
 wrapped lines have them, with words dropped or replaced; against them sentences of like words,
 the training words in random order, and up to ``sample`` lines of the corpus, those with the least hashes (a documented bound; a line that
 a template covers is left out). A fifth is held out to calibrate: a temperature by likelihood, then
-the least probability ``bar`` at which 99.5 % of the held-out paragraphs that pass are right. What
+the least probability ``bar`` at which 98 % of the held-out paragraphs that pass are right. What
 is below the bar, or isn't confirmed, is reported as ``unknown``.
 
 Confirmation: the share of the paragraph's word pairs that the family's templates have, or the
@@ -145,7 +145,7 @@ class Classifier:
             self.w -= rate * g / np.sqrt(gw)
             self.b -= rate * p.sum(0) / np.sqrt(gb)
 
-    def calibrate(self, texts: list[list[int]], y: np.ndarray, right: float = 0.995) -> None:
+    def calibrate(self, texts: list[list[int]], y: np.ndarray, right: float = 0.98) -> None:
         z = self.logits(texts)
         heats = np.geomspace(0.1, 10, 41)
         self.heat = float(heats[np.argmin([-np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-300).mean() for t in heats])])

@@ -285,10 +285,9 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, id_col: str
         vocabulary, network = shared.value
         for batch, rows, held in gathered(batches, vocabulary):
             n = np.array([len(ids) for ids in held])
-            p = np.concatenate([[0.0], np.cumsum(log_probabilities(held, vocabulary, network))])
-            ends = np.cumsum(n)
-            total = p[ends] - p[ends - n]
-            total[n == 0] = 0.0
+            p, some, total = log_probabilities(held, vocabulary, network), n > 0, np.zeros(len(n))
+            if some.any():
+                total[some] = np.add.reduceat(p, (np.cumsum(n) - n)[some])
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
             yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(rows)), pa.array(n, pa.int64()), pa.array(total), mean], names=["doc_id", "tokens", "pseudo_logp", "mean_logp"])
 
