@@ -216,7 +216,9 @@ def split_cut_replay(spark, sf):
     return splits.cut(grouped_rows(spark, sf), 60, 30, seed=7, order="replay").select("example_id", "split")
 
 
-@query(f"""{CUT} SELECT split, 'rows' AS kind, '' AS value, count(*) AS n FROM cut GROUP BY split UNION ALL SELECT split, 'groups', '', count(DISTINCT g) FROM cut GROUP BY split
+@query(f"""{CUT}, names AS (SELECT unnest(['train', 'dev', 'test']) AS split)
+SELECT names.split, 'rows' AS kind, '' AS value, count(cut.split) AS n FROM names LEFT JOIN cut USING (split) GROUP BY names.split
+UNION ALL SELECT names.split, 'groups', '', count(DISTINCT g) FROM names LEFT JOIN cut USING (split) GROUP BY names.split
 UNION ALL SELECT split, 'label', label, count(*) FROM cut GROUP BY split, label UNION ALL SELECT split, 'tier', agreement_tier, count(*) FROM cut GROUP BY split, agreement_tier""")
 def split_stats(spark, sf):
     return splits.stats(cut_rows(spark, sf))

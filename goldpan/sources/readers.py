@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from goldpan.functions import stemming
 from goldpan.functions.text import strip
-from goldpan.model import OPTIONAL, REQUIRED, ROW, TIERS, make_id, rows
+from goldpan.model import OPTIONAL, REQUIRED, ROW, TIERS, make_id, rows, validate
 from goldpan.operators.conflicts import pool_rows, resolve_pool, resolve_scored
 from goldpan.operators.lexicon import Lexicon
 from goldpan.operators.spans import ANNOTATIONS
@@ -64,10 +64,10 @@ def pool_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pool(spark: SparkSession, path: str) -> DataFrame:
-    """The archive's usable sentences as rows, by example_id."""
+    """The archive's usable sentences as rows, by example_id; a row against the schema is an error."""
     found = pool_rows(resolve_pool(pool_lines(spark, path)))
     key = make_id("fpb", F.col("text"))
-    return rows(found, example_id=key, borrowed_row_id=key, agreement_tier=F.col("tier"), **POOL).orderBy("example_id")
+    return validate(rows(found, example_id=key, borrowed_row_id=key, agreement_tier=F.col("tier"), **POOL)).orderBy("example_id")
 
 
 def scored_sentences(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -83,6 +83,7 @@ def scored_rows(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = resolve_scored(scored)
     key = make_id("fiqa", F.col("text"))
     made = rows(found.withColumn("agreement_tier", F.lit("")), example_id=key, borrowed_row_id=key, **SCORED)
+    validate(made)
     counts = found.select(key.alias("_id"), "n_labels")
     made = made.join(counts, made["example_id"] == counts["_id"]).drop("_id")
     return made.where("n_labels = 1").drop("n_labels"), made.where("n_labels > 1").drop("n_labels")
