@@ -202,7 +202,9 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 6
     n, dim = valid.count(), width(valid, "v")
     h = Hashes(max(dim, 1), tables, hashes or (1 if n < WIDE else 2))
     if probes is None:
-        sample = valid.orderBy(F.xxhash64("id"), "id").select("v").limit(SAMPLE).toArrow()
+        drawn = F.xxhash64("id")
+        last = valid.select(drawn.alias("k")).orderBy("k").limit(SAMPLE).agg(F.max("k")).first()[0]
+        sample = valid.where(drawn <= F.lit(last)).select("v").limit(SAMPLE).toArrow()
         probes = fit_probes(h, matrix(sample.column("v"), dim) if n else np.zeros((0, 1)), k)
         probes = min(h.buckets, max(probes, -(-64 * h.buckets // max(1, n))))
     rows, queries = valid.select("id", "v"), valid.where("q").select("id", "v")

@@ -266,11 +266,12 @@ FOUND = "start long, length long, licence string, family string, probability dou
 def scan(docs: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each paragraph found: doc_id, start, length, licence, family, probability, overlap, confirmed."""
     spark = docs.sparkSession
+    # One line of each of the sampled texts, up to 2000 characters; which ones, only hashes tell.
     heads = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("k"), F.col(text_col).alias("t"))
-    # One line of each of the sampled texts, up to 2000 characters.
+    last = heads.select("k").distinct().orderBy("k").limit(sample).agg(F.max("k")).first()[0]
     pick = F.split("t", "\n")
-    heads = heads.select("k", F.substring(F.element_at(pick, (F.pmod("k", F.size(pick)) + 1).cast("int")), 1, 2000).alias("line"))
-    lines = [r["line"] for r in heads.orderBy("k", "line").limit(sample).collect()]
+    heads = heads.where(F.col("k") <= F.lit(last)).select("k", F.substring(F.element_at(pick, (F.pmod("k", F.size(pick)) + 1).cast("int")), 1, 2000).alias("line"))
+    lines = [r["line"] for r in heads.groupBy("k").agg(F.min("line").alias("line")).orderBy("k").collect()]
     shared = spark.sparkContext.broadcast((train(lines), Templates({**TEMPLATES, UNKNOWN: SHARED})))  # the templates set its size
     kind = docs.schema[id_col].dataType.simpleString()
 
