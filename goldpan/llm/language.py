@@ -21,9 +21,11 @@ Rows that repeat are predicted alike. An empty table gives no rows. Other column
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -50,24 +52,33 @@ def grams(word: str, n: int) -> list[str]:
 class Model:
     """Log frequencies of words and n-grams, a row for each and a column for each language."""
 
-    def __init__(self, langs: list[str], rows: list[tuple[int, str, str, int]]):
+    def __init__(self, langs: list[str], rows: Iterable[tuple[int, str, str, int]]):
         """rows: (order, gram, lang, count); order 0 is words."""
         self.langs = langs
-        at = {lang: i for i, lang in enumerate(langs)}
-        totals = np.zeros((max(ORDERS) + 1, len(langs)))
-        counts: list[dict[str, np.ndarray]] = [{} for _ in totals]
+        lang_at = {lang: i for i, lang in enumerate(langs)}
+        self.at: list[dict[str, int]] = [{} for _ in range(max(ORDERS) + 1)]
+        cells: list[list[tuple[int, int, int]]] = [[] for _ in self.at]
         for order, gram, lang, n in rows:
-            counts[order].setdefault(gram, np.zeros(len(langs)))[at[lang]] += n
-            totals[order, at[lang]] += n
-        self.scores = [{g: np.log((c + 0.5) / (totals[k] + 0.5 * len(table))) for g, c in table.items()} for k, table in enumerate(counts)]
+            known = self.at[order]
+            cells[order].append((known.setdefault(gram, len(known)), lang_at[lang], n))
+        self.scores = []
+        for known, found in zip(self.at, cells):
+            counts = np.zeros((len(known), len(langs)))
+            row, col, n = np.array(found, dtype=np.int64).reshape(-1, 3).T
+            np.add.at(counts, (row, col), n)
+            self.scores.append(np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(known))))
+
+    def known(self, order: int, gram: str) -> np.ndarray | None:
+        at = self.at[order].get(gram)
+        return None if at is None else self.scores[order][at]
 
     def word(self, word: str) -> np.ndarray | None:
         """The word's score in every language, None if nothing of it is known."""
-        known = self.scores[0].get(word)
+        known = self.known(0, word)
         if known is not None:
             return known
         for n in ORDERS:
-            found = [s for g in grams(word, n) if (s := self.scores[n].get(g)) is not None]
+            found = [s for g in grams(word, n) if (s := self.known(n, g)) is not None]
             if found:
                 return np.mean(found, axis=0)
         return None
@@ -156,7 +167,7 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(run, "lang string, order int, gram string, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, per_lang: int = 5000, top: int = 30_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, per_lang: int = 5000, top: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the labelled rows outside the held-out fold."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -169,8 +180,10 @@ def fit(docs: DataFrame, per_lang: int = 5000, top: int = 30_000, id_col: str =
             share = F.when(F.col("lang") == lang, math.ceil(per_lang / n * 1_000_000)).otherwise(share)
     drawn = labelled.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000)) < share).select("lang", "text")
     best = Window.partitionBy("lang", "order").orderBy(F.col("n").desc(), "gram")
-    rows = count_grams(drawn).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= top).select("order", "gram", "lang", "n").collect()
-    return Model(sorted(sizes, key=lambda s: s.encode()), [tuple(r) for r in rows])
+    rows = count_grams(drawn).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= top).select("order", "gram", "lang", "n").toArrow()
+    # Small parts of the table at a time are Python objects.
+    parts = (zip(*(c.to_pylist() for c in batch.columns)) for batch in rows.to_batches(max_chunksize=10_000))
+    return Model(sorted(sizes, key=lambda s: s.encode()), itertools.chain.from_iterable(parts))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", extra: tuple[Column, ...] = ()) -> DataFrame:
