@@ -89,21 +89,22 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id GROUP BY d.doc_id
 
 ORACLE["op6_substrings"] = r"""
 WITH l AS (
-  SELECT doc_id, generate_subscripts(x, 1) - 1 AS unit, unnest(x) AS line
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, generate_subscripts(x, 1) AS k, unnest(x) AS piece
+  FROM (SELECT doc_id, regexp_extract_all(text, '(?:[^\n.!?]+|[.!?]+[^\x20\x09-\x0D.!?])+[.!?]*|[.!?]+|\n') AS x FROM documents WHERE text IS NOT NULL)
 ), o AS (
-  SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit) - length(line) - 1 AS start,
-         regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS w FROM l
+  SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) - length(piece) AS begin,
+         length(regexp_extract(piece, '^[\x20\x09\x0B-\x0D]*')) AS lead, length(regexp_extract(piece, '[\x20\x09\x0B-\x0D]*$')) AS trail,
+         regexp_extract_all(lower(piece), '[^\x20\x09-\x0D]+') AS w FROM l
 ), u AS (
-  SELECT doc_id, unit, start, length(line) AS length, len(w) AS words, list_aggregate(w, 'string_agg', ' ') AS t,
-         row_number() OVER (PARTITION BY doc_id ORDER BY start) AS no FROM o WHERE len(w) > 0
-), k AS (
+  SELECT doc_id, begin + lead AS start, length(piece) - lead - trail AS length, len(w) AS words, list_aggregate(w, 'string_agg', ' ') AS t,
+         row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS unit FROM o WHERE len(w) > 0
+), r AS (
   SELECT *, first_value(doc_id) OVER x AS keeper_id, first_value(start) OVER x AS keeper_start, row_number() OVER x AS r
   FROM u WINDOW x AS (PARTITION BY t ORDER BY doc_id, start)
-), p AS (SELECT *, no - row_number() OVER (PARTITION BY doc_id ORDER BY no) AS run FROM k WHERE r > 1),
+), p AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM r WHERE r > 1),
 q AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS total FROM p)
 SELECT doc_id, unit::INT AS unit, start::BIGINT AS start, length::BIGINT AS length, words::INT AS words,
-       keeper_id, keeper_start::BIGINT AS keeper_start FROM q WHERE total >= 50
+       keeper_id, keeper_start::BIGINT AS keeper_start FROM q WHERE total >= 30
 """
 
 ORACLE["op9_pivot_topk"] = """

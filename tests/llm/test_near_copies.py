@@ -178,21 +178,29 @@ def test_deduped_texts_keep_columns(spark):
             assert r["text"] == "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop)
 
 
-def brute_repeats(rows, least=50):
-    docs = sorted({(i, t) for i, t, _ in rows if t is not None and i is not None})
+def plain_units(text):
+    """(start, words) of the lines' sentences."""
+    out, start = [], 0
+    for i, ch in enumerate(text):
+        last = i + 1 == len(text)
+        if ch == "\n" or last or (ch in ".!?" and text[i + 1] in WS):
+            piece = text[start : i + (ch != "\n")]
+            if words(piece):
+                lead = len(piece) - len(piece.lstrip(WS))
+                out.append((start + lead, len(piece.strip(WS)), words(piece.lower())))
+            start = i + 1
+    return out
+
+
+def brute_repeats(rows, least=30):
     seen, out = set(), set()
-    for i, t in docs:
-        units, start = [], 0
-        for k, line in enumerate(t.split("\n")):
-            if words(line):
-                units.append((k, start, words(line.lower())))
-            start += len(line) + 1
+    for i, t in sorted({(i, t) for i, t, _ in rows if t is not None and i is not None}):
         run = []
-        for k, at, w in [*units, (None, None, None)]:
+        for k, (at, length, w) in enumerate([*plain_units(t), (None, None, None)]):
             if w is not None and " ".join(w) in seen:
-                run.append((i, k, at, len(w)))
+                run.append((i, k, at, length, len(w)))
                 continue
-            if sum(r[3] for r in run) >= least:
+            if sum(r[4] for r in run) >= least:
                 out |= set(run)
             run = []
             if w is not None:
@@ -202,14 +210,41 @@ def brute_repeats(rows, least=50):
 
 def test_substrings_against_brute_force(spark):
     rows = [r for r in documents() if r[0] is not None]
-    found = substrings.find_repeats(frame(spark, list({r[:2]: r for r in rows}.values()))).collect()
-    assert {(r["o"], r["unit"], r["start"], r["words"]) for r in found} == brute_repeats(rows)
+    found = substrings.find_repeats(frame(spark, rows)).collect()
+    assert {(r["o"], r["unit"], r["start"], r["length"], r["words"]) for r in found} == brute_repeats(rows) and len(found) == len(brute_repeats(rows))
     texts = {i: t for i, t, _ in rows}
     for r in found:
         one = texts[r["o"]][r["start"] : r["start"] + r["length"]]
-        assert "\n" not in one and words(texts[r["keeper_id"]][r["keeper_start"] :].split("\n")[0].lower()) == words(one.lower())
+        keeper = next(u for u in plain_units(texts[r["keeper_id"]]) if u[0] == r["keeper_start"])
+        assert words(one.lower()) == keeper[2]
     out = substrings.remove(frame(spark, rows))
     assert out.columns == ["doc_id", "text", "s"] and out.count() == len(rows)
+    gone = {}
+    for r in found:
+        gone.setdefault(r["o"], []).append((r["start"], r["length"]))
+    for r in out.collect():
+        t = texts[r["doc_id"]]
+        for start, length in sorted(gone.get(r["doc_id"], []), reverse=True):
+            t = t[:start] + t[start + length :]
+        assert r["text"] == t
+
+
+def test_passages_inside_lines(spark):
+    rng = random.Random(6)
+
+    def sentence(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)).capitalize() + "."
+
+    passage = " ".join(sentence(n) for n in (9, 12, 7, 11, 8, 13))
+    rows = [(k, f"{sentence(9)} {sentence(12)}", 0) for k in range(4)]
+    rows += [(10, f"{sentence(8)} {passage}", 0), (11, f"{sentence(5)} {passage}", 0), (12, f"{sentence(4)[:-1]} {passage} {sentence(6)}\n{sentence(7)}", 0)]
+    found = substrings.find_repeats(frame(spark, rows)).collect()
+    taken = {}
+    for r in found:
+        taken[r["o"]] = taken.get(r["o"], 0) + r["words"]
+    assert taken == {11: 60, 12: 51}  # in the middle of a sentence its first sentence can't be told
+    left = {r["doc_id"]: r["text"].strip() for r in substrings.remove(frame(spark, rows)).collect()}
+    assert left[11] == rows[5][1].replace(passage, "").strip() and left[0] == rows[0][1]
 
 
 def test_empty_tables(spark):
