@@ -15,7 +15,7 @@ import random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldpan.model import LABELS, SCORED_SOURCES, TIERS, group_key, violations
+from goldpan.model import SCORED_SOURCES, group_key, violations
 
 
 def group_sizes(rows: DataFrame) -> DataFrame:
@@ -133,5 +133,3 @@ def check_invariants(rows: DataFrame) -> None:
         where = rows.where(F.col("split").isin("dev", "test") & ~F.col("label_source").isin(*SCORED_SOURCES)).select("split", "label_source").distinct().collect()
         raise AssertionError(f"an evaluation split carries non-human labels: {sorted({tuple(r) for r in where})}")
 
-
-__all__ = ["LABELS", "TIERS", "FirstFit", "assignment", "check_invariants", "cut", "group_sizes", "stats", "stats_dict", "straddling"]

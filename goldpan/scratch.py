@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -17,13 +19,19 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="goldpan-")
+        made = tempfile.mkdtemp(prefix="goldpan-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        base = f"file://{made}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 class Scratch:
-    """One operator run's own folder below the shared one."""
+    """One operator run's own folder below the shared one.
+
+    A result reads its tables whenever it is evaluated, so they stay until whoever owns the shared
+    folder clears it; what no later plan reads is dropped at once.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/goldpan/{name}-{uuid.uuid4().hex}"

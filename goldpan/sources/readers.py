@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from goldpan.functions import stemming
 from goldpan.functions.text import strip
-from goldpan.model import OPTIONAL, REQUIRED, ROW, TIERS, make_id, rows, validate
+from goldpan.model import OPTIONAL, REQUIRED, ROW, make_id, rows, validate
 from goldpan.operators.conflicts import pool_rows, resolve_pool, resolve_scored
 from goldpan.operators.lexicon import Lexicon
 from goldpan.operators.spans import ANNOTATIONS
@@ -126,5 +126,3 @@ def run_lines(spark: SparkSession, path: str) -> DataFrame | None:
     """A registry file as a DataFrame; None where there is no file."""
     return spark.read.json(path) if Path(path).exists() else None
 
-
-__all__ = ["POOL", "SCORED", "TIERS", "lexicon", "pool", "pool_lines", "row_lines", "run_lines", "scored_rows", "scored_sentences", "span_documents", "table"]

@@ -1 +1 @@
-
+"""No streaming operator is needed to match; every load reads whole files."""
