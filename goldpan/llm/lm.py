@@ -8,13 +8,14 @@ probability given both sides is p(class | two tokens before, two after) x p(toke
   Within a class a token has its share of the counts; a rare one 1 / (number of rare words + 1).
 * The class is predicted by a window network, trained in numpy: the classes of the four
   neighbours, or the document's edge, choose rows of four tables, whose sum goes through tanh and a
-  softmax layer. Every document trains it: one window in ``share`` is drawn by its place and its
-  text's length, over whole texts. Each task takes Adagrad steps from common weights and returns
-  its own; these are averaged by windows, in a tree, for ``rounds`` rounds.
+  softmax layer. Every window of every document trains it (``share`` = 1; if more, one in
+  ``share`` by a hash of its place and its text's row). Each task takes Adagrad steps from common
+  weights and returns its own; these are averaged by windows, in a tree, for ``rounds`` rounds.
 
 A document's score is the sum of log p over all its tokens, each predicted once from both sides.
 
-Plan: four passes over the text (counts, two rounds, scores), none of which moves text. What is
+Plan: two passes over the text (counts, and the tokens as numbers, which are written) and three over
+the numbers (two rounds, scores), none of which moves text. What is
 counted grows with the corpus; what is broadcast (``top`` words, one network) and what the driver
 collects (the same, and at most ``TREE`` networks at once) doesn't.
 
@@ -120,13 +121,10 @@ class Network:
         z[np.arange(n), target] -= 1
         z /= n
         back = (z @ self.out.T) * (1 - h * h)
-        one = np.zeros((n, self.classes), np.float32)
-        grads = []
-        for c in context:
-            one[np.arange(n), c] = 1
-            grads.append((one.T @ back).ravel())
-            one[np.arange(n), c] = 0
-        return np.concatenate([*grads, (h.T @ z).ravel(), z.sum(axis=0)])
+        one = np.zeros((len(SIDES) * self.classes, n), np.float32)
+        for k, c in enumerate(context):
+            one[c.astype(np.intp) + k * self.classes, np.arange(n)] = 1
+        return np.concatenate([(one @ back).ravel(), (h.T @ z).ravel(), z.sum(axis=0)])
 
 
 def windows(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,12 +137,27 @@ def windows(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return row, place
 
 
-def gathered(batches, vocabulary: Vocabulary):
+def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(ids, doc_id, at): each document's tokens as numbers of the vocabulary, and a number of the row."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # at most top words
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                ids = [shared.value.encode(text.as_py()).tobytes() for text in part.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), part.column(1)], names=["ids", "doc_id"])
+
+    return docs.select(text_col, id_col).mapInArrow(run, f"ids binary, doc_id {kind}").withColumn("at", F.monotonically_increasing_id())
+
+
+def gathered(batches):
     """The encoded texts of a task, about PART tokens at a time, with their batch and rows."""
     for batch in batches:
         held, rows, n = [], [], 0
         for i, text in enumerate(batch.column(0)):
-            ids = vocabulary.encode(text.as_py())
+            ids = np.frombuffer(text.as_py(), np.int32)
             held.append(ids)
             rows.append(i)
             n += len(ids)
@@ -186,11 +199,14 @@ def learn_vocabulary(docs: DataFrame, top: int = 20_000, classes: int = 128, own
     return Vocabulary([r["word"] for r in best], [r["n"] for r in best], whole["words"] - len(best), whole["n"] - sum(r["n"] for r in best), classes, own)
 
 
-def drawn(n: int, share: int) -> np.ndarray:
-    """Which of a text's n windows train: one in share, by a hash of place and length."""
-    size = np.uint64(n * 0xC2B2AE3D27D4EB4F % (1 << 64))
-    mixed = (np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + size) >> np.uint64(33)
-    return np.flatnonzero(mixed % np.uint64(share) == 0)
+def drawn(n: int, share: int, at: int) -> np.ndarray:
+    """Which of a text's n windows train: one in share, by a hash of the place and the text's row."""
+    if share == 1:
+        return np.arange(n)
+    mixed = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((at + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64))
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(odd)
+    return np.flatnonzero((mixed ^ (mixed >> np.uint64(31))) % np.uint64(share) == 0)
 
 
 def summed(parts: DataFrame, scratch: Scratch) -> tuple[np.ndarray, int]:
@@ -215,11 +231,14 @@ def summed(parts: DataFrame, scratch: Scratch) -> tuple[np.ndarray, int]:
     return sum((np.frombuffer(r["w"], np.float64) for r in found), start=0.0), sum(r["n"] for r in found)
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, share: int = 16, rounds: int = 2, hidden: int = 32, batch_size: int = 256, rate: float = 0.1, text_col: str = "text", scratch: Scratch | None = None) -> Network:
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "lm")
+def train(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, **options) -> Network:
+    scratch = scratch or Scratch(docs.sparkSession, "lm")
+    return train_encoded(scratch.table(encoded(docs, vocabulary, id_col, text_col), "encoded"), vocabulary, scratch, **options)
+
+
+def train_encoded(texts: DataFrame, vocabulary: Vocabulary, scratch: Scratch, share: int = 1, rounds: int = 2, hidden: int = 32, batch_size: int = 256, rate: float = 0.1) -> Network:
     network = Network(vocabulary.classes, hidden, vocabulary.prior)
-    words = spark.sparkContext.broadcast(vocabulary)  # at most top words
+    words = texts.sparkSession.sparkContext.broadcast(vocabulary)  # at most top words
 
     def one_round(start: Network) -> DataFrame:
         def run(batches):
@@ -240,10 +259,11 @@ def train(docs: DataFrame, vocabulary: Vocabulary, share: int = 16, rounds: int
                 left = order[len(order) - len(order) % size :]
                 contexts, targets, waiting = [context[:, left]], [target[left]], len(left)
 
-            for _, _, held in gathered(batches, words.value):
+            for batch, rows, held in gathered(batches):
                 row, place = windows([words.value.cls[ids] for ids in held])
                 ends = np.cumsum([len(ids) for ids in held])
-                pick = place[np.concatenate([drawn(len(ids), share) + e - len(ids) for ids, e in zip(held, ends)]).astype(np.int64)]
+                numbers = batch.column(1).take(pa.array(rows)).to_pylist()
+                pick = place[np.concatenate([drawn(len(ids), share, at) + e - len(ids) for ids, e, at in zip(held, ends, numbers)]).astype(np.int64)]
                 contexts.append(np.stack([row[pick + k] for k in SIDES]))
                 targets.append(row[pick])
                 waiting += len(pick)
@@ -256,7 +276,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, share: int = 16, rounds: int
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([(net.weights().astype(np.float64) * seen).tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["w", "n"])
 
-        return docs.select(text_col).mapInArrow(run, "w binary, n long")
+        return texts.select("ids", "at").mapInArrow(run, "w binary, n long")
 
     for _ in range(rounds):
         total, n = summed(one_round(network), scratch)
@@ -278,12 +298,16 @@ def log_probabilities(held: list[np.ndarray], vocabulary: Vocabulary, network: N
 
 def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, tokens, pseudo_logp, mean_logp."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, network))
-    kind = docs.schema[id_col].dataType.simpleString()
+    return score_encoded(encoded(docs, vocabulary, id_col, text_col), vocabulary, network)
+
+
+def score_encoded(texts: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast((vocabulary, network))
+    kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         vocabulary, network = shared.value
-        for batch, rows, held in gathered(batches, vocabulary):
+        for batch, rows, held in gathered(batches):
             n = np.array([len(ids) for ids in held])
             p, some, total = log_probabilities(held, vocabulary, network), n > 0, np.zeros(len(n))
             if some.any():
@@ -291,14 +315,15 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, id_col: str
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
             yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(rows)), pa.array(n, pa.int64()), pa.array(total), mean], names=["doc_id", "tokens", "pseudo_logp", "mean_logp"])
 
-    return docs.select(text_col, id_col).mapInArrow(run, f"doc_id {kind}, tokens long, pseudo_logp double, mean_logp double")
+    return texts.select("ids", "doc_id").mapInArrow(run, f"doc_id {kind}, tokens long, pseudo_logp double, mean_logp double")
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Learn from all documents and score all of them."""
     scratch = Scratch(docs.sparkSession, "lm")
     vocabulary = learn_vocabulary(docs, text_col=text_col, scratch=scratch)
-    return score(docs, vocabulary, train(docs, vocabulary, text_col=text_col, scratch=scratch, **options), id_col, text_col)
+    texts = scratch.table(encoded(docs, vocabulary, id_col, text_col), "encoded")
+    return score_encoded(texts, vocabulary, train_encoded(texts, vocabulary, scratch, **options))
 
 
 def op4_pseudo_likelihood(spark, sf_dir: str) -> DataFrame:

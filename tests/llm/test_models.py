@@ -127,6 +127,24 @@ def test_training_learns_both_sides(spark):
     assert mean(net, "x y z") < mean(net, good)
 
 
+def test_every_window_trains(spark, monkeypatch):
+    seen = []
+    rows = [(i, " ".join(["a", "b", "c"][(i + k) % 3] for k in range(i))) for i in range(40)] + [(0, None), (3, "a b c"), (3, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    v = lm.learn_vocabulary(docs, classes=8, own=3)
+    whole = lm.summed
+    monkeypatch.setattr(lm, "summed", lambda *a: seen.append(whole(*a)) or seen[-1])
+    lm.pseudo_likelihood(docs)
+    assert [n for _, n in seen] == [sum(len(v.encode(t)) for _, t in rows)] * 2
+
+
+def test_no_length_is_never_drawn():
+    for n in range(1, 40):
+        drawn = [lm.drawn(n, 16, at) for at in range(400)]
+        assert 0.6 < sum(map(len, drawn)) * 16 / (400 * n) < 1.5
+        assert len(np.unique(np.concatenate(drawn))) == n  # texts of one length train different places
+
+
 def test_gradient_is_the_slope():
     rng = np.random.default_rng(0)
     net = lm.Network(6, 4, seed=1)
