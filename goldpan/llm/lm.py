@@ -5,7 +5,8 @@ probability given both sides is p(class | two tokens before, two after) x p(toke
 
 * The words of all documents are counted. The most frequent are classes of their own, the next
   ``top`` share the middle classes, in bands of equal count, and all others are the rare class.
-  Within a class a token has its share of the counts; a rare one 1 / (number of rare words + 1).
+  Within a class a token has its share of the counts, in the rare class too, whose counts are one
+  more for words never seen. Only the classes are bounded: the counts of all words stay a table.
 * The class is predicted by a window network, trained in numpy: the classes of the four
   neighbours, or the document's edge, choose rows of four tables, whose sum goes through tanh and a
   softmax layer. Every window of every document trains it (``share`` = 1; if more, one in
@@ -15,7 +16,8 @@ probability given both sides is p(class | two tokens before, two after) x p(toke
 A document's score is the sum of log p over all its tokens, each predicted once from both sides.
 
 Plan: two passes over the text (counts, and the tokens as numbers, which are written) and three over
-the numbers (two rounds, scores), none of which moves text. What is
+the numbers (two rounds, scores), none of which moves text. Rare words, a row for each time one
+occurs, meet the table of counts in a join by word; none of them has over 1 / ``top`` of all tokens. What is
 counted grows with the corpus; what is broadcast (``top`` words, one network) and what the driver
 collects (the same, and at most ``TREE`` networks at once) doesn't.
 
@@ -64,15 +66,22 @@ class Vocabulary:
         total = np.bincount(self.cls[:-1], n[:-1], minlength=classes)
         with np.errstate(divide="ignore"):
             self.within = np.where(n > 0, np.log(n) - np.log(np.maximum(total, 1))[self.cls], 0.0)
-        self.within[-1] = -np.log(rare_words + 1)
+        self.within[-1] = -np.log(rare_count + 1)  # of a rare word seen once; score() adds the log of its count
+        self.rare_words = rare_words
+        self.counts: DataFrame | None = None  # of all words, where the driver knows them
         total[-1] += rare_count
         self.prior = np.log(np.maximum(total, 0.5) / max(total.sum(), 1)).astype(np.float32)
 
-    def encode(self, text: str | None) -> np.ndarray:
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "counts": None}
+
+    def numbers(self, found: list[str]) -> np.ndarray:
         get, rare = self.at.get, len(self.at)
-        found = tokens(text)
         return np.fromiter((get(t, rare) for t in found), np.int32, len(found))
 
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.numbers(tokens(text))
+
 
 class Network:
     """Window network over classes: four tables, tanh, softmax."""
@@ -110,21 +119,24 @@ class Network:
         np.exp(z, out=z)
         return own - np.log(z.sum(axis=1))
 
-    def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Of the mean loss, in the order of weights()."""
+    def gradient(self, context: np.ndarray, target: np.ndarray, one: np.ndarray | None = None) -> np.ndarray:
+        """Of the mean loss, in the order of weights(). one: zeros to work in, zeros again afterwards."""
         n = len(target)
         h = self.layer(context)
-        z = h @ self.out + self.bias
-        z -= z.max(axis=1, keepdims=True)
+        z = self.out.T @ h.T  # a row for each class, so sums and maxima run along rows
+        z += self.bias[:, None]
+        z -= z.max(axis=0)
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(n), target] -= 1
-        z /= n
-        back = (z @ self.out.T) * (1 - h * h)
-        one = np.zeros((len(SIDES) * self.classes, n), np.float32)
-        for k, c in enumerate(context):
-            one[c.astype(np.intp) + k * self.classes, np.arange(n)] = 1
-        return np.concatenate([(one @ back).ravel(), (h.T @ z).ravel(), z.sum(axis=0)])
+        z /= z.sum(axis=0) * np.float32(n)
+        z[target, np.arange(n)] -= np.float32(1 / n)
+        back = (self.out @ z).T * (1 - h * h)
+        if one is None or one.shape[1] != n:
+            one = np.zeros((len(SIDES) * self.classes, n), np.float32)
+        row, col = context + np.arange(0, len(one), self.classes)[:, None], np.arange(n)
+        one[row, col] = 1
+        tables = one @ back
+        one[row, col] = 0
+        return np.concatenate([tables.ravel(), (h.T @ z.T).ravel(), z.sum(axis=1)])
 
 
 def windows(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +150,7 @@ def windows(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(ids, doc_id, at): each document's tokens as numbers of the vocabulary, and a number of the row."""
+    """(ids, rare, doc_id, at): each document's tokens as numbers of the vocabulary, its rare words, and a number of the row."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # at most top words
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -146,10 +158,15 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tex
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                ids = [shared.value.encode(text.as_py()).tobytes() for text in part.column(0)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), part.column(1)], names=["ids", "doc_id"])
+                ids, rare = [], []
+                for text in part.column(0):
+                    found = tokens(text.as_py())
+                    numbers = shared.value.numbers(found)
+                    ids.append(numbers.tobytes())
+                    rare.append([found[k] for k in np.flatnonzero(numbers == len(shared.value.at)).tolist()])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string())), part.column(1)], names=["ids", "rare", "doc_id"])
 
-    return docs.select(text_col, id_col).mapInArrow(run, f"ids binary, doc_id {kind}").withColumn("at", F.monotonically_increasing_id())
+    return docs.select(text_col, id_col).mapInArrow(run, f"ids binary, rare array<string>, doc_id {kind}").withColumn("at", F.monotonically_increasing_id())
 
 
 def gathered(batches):
@@ -196,7 +213,9 @@ def learn_vocabulary(docs: DataFrame, top: int = 20_000, classes: int = 128, own
     counts = scratch.table(count_words(docs, text_col), "words")
     best = counts.orderBy(F.col("n").desc(), "word").limit(top).collect()
     whole = counts.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    return Vocabulary([r["word"] for r in best], [r["n"] for r in best], whole["words"] - len(best), whole["n"] - sum(r["n"] for r in best), classes, own)
+    vocabulary = Vocabulary([r["word"] for r in best], [r["n"] for r in best], whole["words"] - len(best), whole["n"] - sum(r["n"] for r in best), classes, own)
+    vocabulary.counts = counts
+    return vocabulary
 
 
 def drawn(n: int, share: int, at: int) -> np.ndarray:
@@ -245,19 +264,22 @@ def train_encoded(texts: DataFrame, vocabulary: Vocabulary, scratch: Scratch, sh
             net = start.with_weights(start.weights().copy())
             squares = np.full(net.weights().size, 1e-6, np.float32)
             seen, contexts, targets, waiting = 0, [], [], 0
+            one = np.zeros((len(SIDES) * net.classes, batch_size), np.float32)
 
             def step(size: int):
                 nonlocal net, squares, seen, contexts, targets, waiting
                 context, target = np.concatenate(contexts, axis=1), np.concatenate(targets)
                 order = np.random.default_rng(seen).permutation(len(target))
+                context, target = context[:, order], target[order]
                 for k in range(0, len(order) - size + 1, size):
-                    pick = order[k : k + size]
-                    g = net.gradient(context[:, pick], target[pick])
+                    g = net.gradient(context[:, k : k + size], target[k : k + size], one)
                     squares += g * g
-                    net = net.with_weights(net.weights() - rate * g / np.sqrt(squares))
-                    seen += len(pick)
-                left = order[len(order) - len(order) % size :]
-                contexts, targets, waiting = [context[:, left]], [target[left]], len(left)
+                    g *= np.float32(rate)
+                    g /= np.sqrt(squares)
+                    net = net.with_weights(net.weights() - g)
+                    seen += size
+                left = len(order) - len(order) % size
+                contexts, targets, waiting = [context[:, left:]], [target[left:]], len(order) - left
 
             for batch, rows, held in gathered(batches):
                 row, place = windows([words.value.cls[ids] for ids in held])
@@ -296,12 +318,14 @@ def log_probabilities(held: list[np.ndarray], vocabulary: Vocabulary, network: N
     return out
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """A row for each document: doc_id, tokens, pseudo_logp, mean_logp."""
-    return score_encoded(encoded(docs, vocabulary, id_col, text_col), vocabulary, network)
+    scratch = scratch or Scratch(docs.sparkSession, "lm")
+    return score_encoded(scratch.table(encoded(docs, vocabulary, id_col, text_col), "encoded"), vocabulary, network)
 
 
 def score_encoded(texts: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFrame:
+    """texts: a written table, as rows are joined by their numbers."""
     shared = texts.sparkSession.sparkContext.broadcast((vocabulary, network))
     kind = texts.schema["doc_id"].dataType.simpleString()
 
@@ -312,16 +336,24 @@ def score_encoded(texts: DataFrame, vocabulary: Vocabulary, network: Network) ->
             p, some, total = log_probabilities(held, vocabulary, network), n > 0, np.zeros(len(n))
             if some.any():
                 total[some] = np.add.reduceat(p, (np.cumsum(n) - n)[some])
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(rows)), pa.array(n, pa.int64()), pa.array(total), mean], names=["doc_id", "tokens", "pseudo_logp", "mean_logp"])
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array(n, pa.int64()), pa.array(total)], names=["doc_id", "at", "tokens", "p"])
 
-    return texts.select("ids", "doc_id").mapInArrow(run, f"doc_id {kind}, tokens long, pseudo_logp double, mean_logp double")
+    found = texts.select("ids", "doc_id", "at").mapInArrow(run, f"doc_id {kind}, at long, tokens long, p double")
+    p = F.col("p")
+    if vocabulary.rare_words and vocabulary.counts is not None:
+        # The log of 1 adds nothing, so words seen once stay out, as do unseen ones.
+        seen = vocabulary.counts.where("n > 1").select("word", F.log("n").alias("log_n"))
+        more = texts.select(F.col("at").alias("_at"), F.explode("rare").alias("word")).join(seen, "word").groupBy("_at").agg(F.sum("log_n").alias("more"))
+        found = found.join(more, F.col("at") == F.col("_at"), "left")
+        p = p + F.coalesce("more", F.lit(0.0))
+    return found.select("doc_id", "tokens", p.alias("pseudo_logp"), F.when(F.col("tokens") > 0, p / F.col("tokens")).alias("mean_logp"))
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = 20_000, **options) -> DataFrame:
     """Learn from all documents and score all of them."""
     scratch = Scratch(docs.sparkSession, "lm")
-    vocabulary = learn_vocabulary(docs, text_col=text_col, scratch=scratch)
+    vocabulary = learn_vocabulary(docs, top, text_col=text_col, scratch=scratch)
     texts = scratch.table(encoded(docs, vocabulary, id_col, text_col), "encoded")
     return score_encoded(texts, vocabulary, train_encoded(texts, vocabulary, scratch, **options))
 

@@ -127,6 +127,26 @@ def test_training_learns_both_sides(spark):
     assert mean(net, "x y z") < mean(net, good)
 
 
+def test_rare_words_have_their_counts(spark):
+    rows = [(i, "a b " * 5 + " ".join(["often"] * 3 + ["twice"] * (i < 2) + ["once"] * (i == 0))) for i in range(6)] + [(None, None), (0, "often"), (0, "often")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    v = lm.learn_vocabulary(docs, top=2, classes=8, own=2)
+    net = lm.train(docs, v, hidden=8)
+    asked = [*rows, (90, "twice"), (91, "once"), (92, "never"), (93, "never often")]
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["tokens"], r["pseudo_logp"]) for r in lm.score(spark.createDataFrame(asked, docs.schema), v, net).collect())
+    count = {"often": 20, "twice": 2, "once": 1}
+    want = []
+    for i, t in asked:
+        words = lm.tokens(t)
+        p = lm.log_probabilities([v.encode(t)], v, net).sum() + sum(np.log(count.get(w, 1)) for w in words if w not in "ab")
+        want.append((i is not None, i or 0, len(words), float(p)))
+    assert np.allclose(got, sorted(want), rtol=1e-5, atol=1e-5) and len(got) == len(asked)
+    single = {i: p for _, i, _, p in got}
+    assert abs(single[90] - single[91] - np.log(2)) < 1e-5
+    # The shares of the rare class, with one for unseen words, add up to 1.
+    assert abs(sum(count.values()) * np.exp(v.within[-1]) + np.exp(v.within[-1]) - 1) < 1e-9
+
+
 def test_every_window_trains(spark, monkeypatch):
     seen = []
     rows = [(i, " ".join(["a", "b", "c"][(i + k) % 3] for k in range(i))) for i in range(40)] + [(0, None), (3, "a b c"), (3, "a b c")]
