@@ -115,27 +115,38 @@ def fit_probes(h: Hashes, x: np.ndarray, k: int, aim: float = AIM) -> int:
 
 
 def nearest_in_group(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, step: int = 256):
-    """(query_id, vec_id, cosine): of each query the k nearest rows with another id, exact copies by id."""
+    """(query_id, vec_id, cosine): of each query the k nearest other ids with their best cosine, exact copies by id."""
     order = np.lexsort((ids, *x.T[::-1]))
     ids, x = ids[order], x[order]
     new = np.r_[True, (x[1:] != x[:-1]).any(axis=1)]
+    other = new | np.r_[True, ids[1:] != ids[:-1]]  # a row that repeats takes no place
+    ids, x, new = ids[other], x[other], new[other]
     starts = np.flatnonzero(new)
     rank = np.arange(len(ids)) - starts[np.cumsum(new) - 1]
     ids, x = ids[rank <= k], x[rank <= k]
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     ux, uq = unit_rows(x), unit_rows(q)
     out = []
     for low in range(0, len(q), step):
         part = uq[low : low + step]
         scores = part @ ux.T
         scores[q_ids[low : low + step, None] == ids] = -np.inf
-        kth = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(part), -np.inf)
+        by_id = np.maximum.reduceat(scores, starts, axis=1) if len(starts) < len(ids) else scores
+        kth = np.partition(by_id, -k, axis=1)[:, -k] if len(starts) > k else np.full(len(part), -np.inf)
         row, col = np.nonzero((scores >= kth[:, None] - SLACK) & (scores > -np.inf))
         exact = (part[row] * ux[col]).sum(axis=1)  # one order of adding for all, so copies tie
         first = np.searchsorted(row, np.arange(len(part) + 1))
         for i in range(len(part)):
             own = slice(first[i], first[i + 1])
-            best = best_rows(exact[own], ids[col[own]], k)
-            out.append((np.full(len(best), q_ids[low + i]), ids[col[own]][best], exact[own][best]))
+            s, v = exact[own], ids[col[own]]
+            by = np.lexsort((-s, v))
+            s, v = s[by], v[by]
+            one = np.flatnonzero(np.r_[True, v[1:] != v[:-1]][: len(v)])
+            s, v = s[one], v[one]
+            best = best_rows(s, v, k)
+            out.append((np.full(len(best), q_ids[low + i]), v[best], s[best]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(c) for c in zip(*out))

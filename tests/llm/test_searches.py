@@ -75,6 +75,27 @@ def test_all_probes_are_exact(spark):
     assert got == brute_cosine(rows, 10, 5)
 
 
+@pytest.mark.parametrize("probes", [None, 1 << 20])
+def test_repeated_ids_take_one_place(spark, probes):
+    rows = made(120)
+    rows += [rows[7]] * 12 + [rows[20]] * 8  # one id, one vector; rows[20] is a query too
+    rows += [(33, [c + 0.001 * j for c in rows[10][1]], None, None) for j in range(9)]  # one id, vectors nearly alike
+    rows += [(900 + j, rows[7][1], None, None) for j in range(3)]
+    found = ann.neighbours(frame(spark, rows), F.col("vec_id") % 10 == 0, probes=probes).collect()
+    want, got = brute_cosine(rows, 10, 5), {}
+    for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert all(len(set(v)) == 5 for v in got.values()) and set(got) == set(want)
+    assert got == want if probes else sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_a_group_gives_k_distinct_ids():
+    x = np.array([[1.0, 0.1]] * 8 + [[1.0, 0.2], [1.0, 0.3], [1.0, 0.11], [1.0, 0.12]])
+    ids = np.array([3] * 8 + [4, 5, 3, 3])
+    _, found, cosine = ann.nearest_in_group(np.array([1]), np.array([[1.0, 0.0]]), ids, x, 3)
+    assert found.tolist() == [3, 4, 5] and abs(cosine[0] - 1 / np.hypot(1, 0.1)) < 1e-12
+
+
 def test_pairs_of_axes_and_full_buckets(spark):
     rows = made()
     v = frame(spark, rows).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).where("id < 400")
