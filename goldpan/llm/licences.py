@@ -4,7 +4,9 @@ Paragraphs are lines with a word ``\w+``. A line's features are its word n-grams
 words, lower-cased, as far as the training texts have them (single stop words aside), each taken
 once and the vector scaled to length 1. Multinomial logistic regression tells the licence families
 (``licence_texts``), ``unknown`` (licence wording that several families share) and ``none``.
-Lines in a row that aren't ``none`` are one paragraph, so a wrapped text is judged as a whole.
+Lines in a row that aren't ``none`` are one paragraph, so a wrapped text is judged as a whole. It ends
+at a blank line, and before a line that alone is surely of another family than a line before it: at
+the bar or above, confirmed, and nearer to its family's templates than to any other's.
 
 Training, in numpy: sentences of the templates, whole, in runs of two or three and in windows as
 wrapped lines have them, with words dropped or replaced; against them sentences of like words,
@@ -15,7 +17,9 @@ is below the bar, or isn't confirmed, is reported as ``unknown``.
 
 Confirmation: the share of the paragraph's word pairs that the family's templates have, or the
 share of some template's pairs that the paragraph has, is 0.6 or more. Where this is under 0.25 for
-all families and the shared wording, nothing is reported.
+all families and the shared wording, nothing is reported. A confirmed paragraph may name more families:
+each counts that has a template of whose word pairs, without those of the families already found, the
+paragraph has 0.6 and two at least. Each has a row, and their probabilities together meet the bar.
 
 Edges: a null or empty text has no paragraph. Rows that repeat are reported as often. Ids may be
 null. Very long lines are classified whole. An empty table gives no rows; the model is then trained
@@ -63,6 +67,28 @@ class Templates:
         inside = len(own & self.all[family]) / len(own)
         return max(inside, *(len(own & t) / len(t) for t in self.single[family]))
 
+    def surely(self, words: list[str], family: str) -> bool:
+        """Confirmed, and nearer than any other family."""
+        own = self.overlap(words, family)
+        return own >= OVERLAP and all(self.overlap(words, f) < own for f in self.all if f != family)
+
+    def others(self, words: list[str], family: str) -> list[str]:
+        """The families besides a confirmed one that the words not explained by it confirm, the nearest first."""
+        found, known = [], set(self.all[family])
+        while True:
+            left, best = pairs_of(words) - known, (0.0, "")
+            for f in self.single:
+                if f in (family, UNKNOWN, *found):
+                    continue
+                for t in self.single[f]:
+                    both = len(left & t)
+                    if both > 1 and (share := both / len(t - known)) >= OVERLAP:
+                        best = max(best, (share, f))
+            if not best[1]:
+                return found
+            found.append(best[1])
+            known |= self.all[best[1]]
+
 
 class Features:
     """n-grams of one to three words as columns; unseen ones are left out."""
@@ -237,17 +263,20 @@ def scan_texts(texts: list[str | None], model: Classifier, templates: Templates)
         return out
     p = model.probabilities([row for *_, row in lines])
     runs: list[list] = []
-    for (i, start, length, row), like in zip(lines, p[:, -1] < 0.5):
-        if like:
-            last = runs[-1] if runs else None
-            # Nothing but white space may lie between two lines of a paragraph.
-            if last and last[0] == i and not texts[i][last[2] : start].strip():
-                last[2], last[3] = start + length, [*last[3], *row]
+    for (i, start, length, row), q in zip(lines, p):
+        if q[-1] < 0.5:
+            last, best = runs[-1] if runs else None, int(np.argmax(q[:-2]))
+            sure = q[best] >= model.bar and templates.surely(words_of(texts[i][start : start + length]), CLASSES[best])
+            family = CLASSES[best] if sure else None
+            between = texts[i][last[2] : start] if last and last[0] == i else None
+            # One line feed and nothing else but white space may lie between two lines of a paragraph.
+            if between is not None and not between.strip() and between.count("\n") == 1 and (not family or last[4] in (None, family)):
+                last[2:] = start + length, [*last[3], *row], last[4] or family
             else:
-                runs.append([i, start, start + length, row])
+                runs.append([i, start, start + length, row, family])
     if not runs:
         return out
-    for (i, start, end, _), q in zip(runs, model.probabilities([r[3] for r in runs])):
+    for (i, start, end, *_), q in zip(runs, model.probabilities([r[3] for r in runs])):
         best = int(np.argmax(q[:-2]))
         family, words = CLASSES[best], words_of(texts[i][start:end])
         overlap = templates.overlap(words, family)
@@ -255,8 +284,10 @@ def scan_texts(texts: list[str | None], model: Classifier, templates: Templates)
         like = overlap if confirmed else max(overlap, *(templates.overlap(words, f) for f in templates.all))
         if like < (OVERLAP if q[-1] >= 0.5 else LEAST):
             continue
-        sure = confirmed and q[best] >= model.bar
-        out[i].append((start, end - start, family if sure else UNKNOWN, family, float(q[best]), overlap, confirmed))
+        families = [family, *(templates.others(words, family) if confirmed else [])]
+        sure = confirmed and sum(q[CLASSES.index(f)] for f in families) >= model.bar
+        for f in families:
+            out[i].append((start, end - start, f if sure else UNKNOWN, f, float(q[CLASSES.index(f)]), templates.overlap(words, f), confirmed))
     return out
 
 
@@ -264,7 +295,7 @@ FOUND = "start long, length long, licence string, family string, probability dou
 
 
 def scan(docs: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each paragraph found: doc_id, start, length, licence, family, probability, overlap, confirmed."""
+    """A row for each family of each paragraph found: doc_id, start, length, licence, family, probability, overlap, confirmed."""
     spark = docs.sparkSession
     # One line of each of the sampled texts, up to 2000 characters; which ones, only hashes tell.
     heads = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("k"), F.col(text_col).alias("t"))

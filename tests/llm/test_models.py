@@ -227,3 +227,28 @@ def test_paragraphs_spans_and_edges(spark):
     got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["start"], r["length"], r["licence"], r["confirmed"]) for r in out)
     assert got == [(False, 0, 0, 20, "proprietary", True), (True, 1, 11, 31, "mit", True), (True, 1, 11, 31, "mit", True), (True, 2, 0, len(wrapped), "gpl", True), (True, 6, 0, 46, "unknown", False)]
     assert licences.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_licence_of_stacked_notices_is_told():
+    model = licences.train(LINES)
+    templates = licences.Templates({**licences.TEMPLATES, licences.UNKNOWN: licences.SHARED})
+    mit, apache, bsd = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Licensed under the BSD 3-Clause License."
+    spdx = "SPDX-License-Identifier: "
+    texts = [f"{mit}\n\n{apache}", f"{mit}\n{apache}", f"{mit}\r\n \t\r\n{bsd}\r\n{bsd}\r\n{apache}", f"{mit} {apache}", f"{spdx}MIT\n{spdx}Apache-2.0", f"{mit}\n\n{mit}"]
+    found = licences.scan_texts(texts, model, templates)
+    assert [sorted(r[2] for r in f) for f in found] == [["apache", "mit"], ["apache", "mit"], ["apache", "bsd", "mit"], ["apache", "mit"], ["apache", "mit"], ["mit", "mit"]]
+    for text, f in zip(texts, found):
+        assert all(r[0] >= 0 and r[0] + r[1] <= len(text) and text[r[0] : r[0] + r[1]].strip() for r in f)
+    assert [texts[0][r[0] : r[0] + r[1]] for r in found[0]] == [mit, apache]
+
+
+def test_one_wrapped_licence_stays_one():
+    model = licences.train(LINES)
+    templates = licences.Templates({**licences.TEMPLATES, licences.UNKNOWN: licences.SHARED})
+    for family, sentences in licences.TEMPLATES.items():
+        for sentence in sentences:
+            words = sentence.split()
+            if len(words) >= 20:
+                text = "\n".join(" ".join(words[k : k + 9]) for k in range(0, len(words), 9))
+                found = licences.scan_texts([text], model, templates)[0]
+                assert {r[3] for r in found} <= {family}, (family, sentence, found)
