@@ -9,6 +9,7 @@ from goldpan.llm.line_dedup import op10_line_dedup
 from goldpan.llm.lm import op4_pseudo_likelihood
 from goldpan.llm.mixing import op7_mixing
 from goldpan.llm.packing import op8_packing
+from goldpan.llm.passages import op6_passages
 from goldpan.llm.simhash import op2_simhash
 from goldpan.llm.substrings import op6_substrings
 from goldpan.llm.topk import op9_pivot_topk
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_pseudo_likelihood": op4_pseudo_likelihood,
     "op5_language": op5_language,
     "op6_substrings": op6_substrings,
+    "op6_passages": op6_passages,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
     "op9_pivot_topk": op9_pivot_topk,

@@ -6,8 +6,9 @@ ends at a line feed, or with ``.``, ``!`` or ``?`` before white space. A unit's
 documents the earliest occurrence of a digest, by (doc_id, start), is its keeper, the others are
 repeats. Repeats that follow one another in a document form a passage, units without a word between
 them aside; the units of passages of ``min_words`` or more words are removed, each with its original
-offset, and shorter repeats, such as a common short line, stay. min_words is 30, so that a passage
-of over 50 words that was put into the middle of a sentence is found by its whole sentences.
+offset, and shorter repeats, such as a common short line, stay. min_words is 30: a passage of over 50
+words that was put into the middle of a sentence is found if its whole sentences have as many, and
+not otherwise. ``passages`` finds every one, word for word.
 
 Plan: units are cut where the documents are read. Digests that occur twice or more are found by an
 aggregate with map-side sums, so the most common unit costs each task one row, and written. The join
