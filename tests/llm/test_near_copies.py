@@ -150,6 +150,36 @@ def test_line_dedup_against_brute_force(spark):
         assert {i: sorted(set(g)) for i, g in got.items()} == want
 
 
+def test_line_dedup_query_with_repeated_rows(spark, tmp_path):
+    rows = [r for r in documents() if r[0] is not None]
+    twice = frame(spark, rows + rows)
+    twice.write.parquet(f"{tmp_path}/documents.parquet")
+    got = line_dedup.op10_line_dedup(spark, str(tmp_path)).collect()
+    want = brute_lines(rows)
+    texts = {i: t for i, t, _ in rows}
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)  # rows that repeat are one document
+    for r in got:
+        text = texts[r["doc_id"]]
+        assert r["n_lines"] == (0 if text is None else text.count("\n") + 1)
+        assert r["removed"] == ",".join(map(str, want.get(r["doc_id"], []))) and r["n_removed"] == len(want.get(r["doc_id"], []))
+
+
+def test_near_copies_of_a_hub_that_is_not_one(spark):
+    """Every set is near the earliest by its signature bound, but some only to each other."""
+    rng = random.Random(4)
+    base = ["t%d" % i for i in range(40)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for k in rng.sample(range(40), rng.randint(3, 6)):
+            w[k] = "x%d" % rng.randrange(30)
+        rows.append((i, " ".join(w), 0))
+    want = {i for i, g in brute_lines(rows).items() if g}
+    for crowd in (line_dedup.CROWD, 4):
+        found = line_dedup.find_lines(frame(spark, rows), crowd=crowd).where("removed").collect()
+        assert {r["o"] for r in found} == want
+
+
 def test_crowded_near_copies(spark):
     rng = random.Random(9)
     base = ["t%d" % i for i in range(30)]
