@@ -20,6 +20,7 @@ id is shuffled as the empty string. Columns other than id, text and source are n
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,11 +52,12 @@ def targets(per_source: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_rep
     return ranked.select("source", "source_size", F.least(F.col("_cap").cast("double"), F.col("_w") * F.col("_water")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, row: Column | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """A row for each document: doc_id, source, size, source_size, target, copies, taken, row_id.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, row: Column | None = None, by_size: bool = True, scratch: Scratch | None = None) -> DataFrame:
+    """A row for each document: doc_id, source, size, source_size, target, copies, taken, row_id, _key.
 
     ``size`` replaces the word count. ``weights`` go to the sources in code-point order, null last,
-    and repeat. ``row_id`` numbers the rows of the table that was read, or is the column ``row``.
+    and repeat. ``row_id`` numbers the rows of the table that was read, or is the column ``row``. Rows with the same id are in the
+    order of their sizes, unless ``by_size`` is false, and then of ``row_id``.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "mixing")
@@ -74,7 +76,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     ranges = ranges.withColumnRenamed("_bucket", "_b")
 
     timed = slim.join(ranges, slim["source"].eqNullSafe(ranges["_source"]) & (slim["_bucket"] == ranges["_b"])).drop("_source", "_b")
-    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size", "row_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", *(["size"] if by_size else []), "row_id").rowsBetween(Window.unboundedPreceding, 0)
     timed = timed.withColumn("_sent", F.col("_ahead") + F.sum("size").over(inside)).drop("_ahead", "_bucket")
     timed = scratch.table(timed, "timed")
 
@@ -109,19 +111,33 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     count = F.lit(0)
     for copy in range(max_repeats):
         count = count + F.when((F.col("size") > 0) & kept(F.lit(copy)), 1).otherwise(0)
-    return timed.select("doc_id", "source", "size", "source_size", "target", count.alias("copies"), (F.col("size") * count).alias("taken"), "row_id")
+    return timed.select("doc_id", "source", "size", "source_size", "target", count.alias("copies"), (F.col("size") * count).alias("taken"), "row_id", "_key")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Every document as often as the mix takes it, all columns as they were; not those without a word."""
+    """Every document as often as the mix takes it, all columns as they were; not those without a word.
+
+    A source's documents are taken in their shuffled order, so what the mix takes of it is told by the
+    last document of each copy: a row for each source, and texts are neither copied nor, unless there
+    are very many sources, shuffled. Rows are known by their file and place in it; where ``docs`` isn't
+    read from files they are numbered and written first.
+    """
     scratch = Scratch(docs.sparkSession, "mixing")
-    # Row numbers that are written down hold when a lost executor's part is read again.
-    stored = scratch.table(docs.withColumn("_goldpan_row", F.monotonically_increasing_id()), "documents")
-    found = mix(stored, weights, max_repeats, id_col, text_col, source_col, row=F.col("_goldpan_row"), scratch=scratch)
-    taken = found.where("copies > 0").select(F.col("row_id").alias("_goldpan_id"), F.col("copies").alias("_goldpan_copies"))
-    out = stored.join(taken, F.col("_goldpan_row") == F.col("_goldpan_id"))
-    out = out.withColumn("_goldpan_copy", F.explode(F.sequence(F.lit(1), F.col("_goldpan_copies"))))
-    return out.select(*docs.columns)
+    try:
+        at = docs.metadataColumn("_metadata")
+        rows = docs.select(*docs.columns, F.struct(at["file_path"].alias("file"), at["row_index"].alias("row")).alias("_goldpan_row"))
+    except AnalysisException:
+        rows = scratch.table(docs.withColumn("_goldpan_row", F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))), "documents")
+    found = mix(rows, weights, max_repeats, id_col, text_col, source_col, row=F.col("_goldpan_row"), by_size=False, scratch=scratch)
+    last = [F.max(F.when(F.col("copies") > k, F.struct("_key", "doc_id", "row_id"))).alias(f"_goldpan_{k}") for k in range(max_repeats)]
+    last = scratch.table(found.where("copies > 0").groupBy(F.col("source").alias("_goldpan_source")).agg(*last), "last")
+    out = rows.join(last, rows[source_col].eqNullSafe(F.col("_goldpan_source")))
+    mine = F.struct(shuffle_key(rows[id_col]).alias("_key"), rows[id_col].alias("doc_id"), F.col("_goldpan_row").alias("row_id"))
+    copies = F.lit(0)
+    for k in range(max_repeats):
+        copies = copies + F.when(mine <= F.col(f"_goldpan_{k}"), 1).otherwise(0)
+    out = out.where(F.col(text_col).rlike(WORD)).withColumn("_goldpan_copies", copies).where("_goldpan_copies > 0")
+    return out.withColumn("_goldpan_copy", F.explode(F.sequence(F.lit(1), F.col("_goldpan_copies")))).select(*docs.columns)
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

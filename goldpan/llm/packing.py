@@ -5,8 +5,9 @@ first piece holds the remainder and all others are full. Best-fit decreasing nee
 how many pieces there are of each length, at most ``capacity`` numbers: the driver packs these
 counts, taking all items of a length that meet the same tightest capacity at once, and the
 result says for every (length, rank in that length) the sequence and the offset. It is the very
-packing that placing pieces one at a time gives. The rank of a piece in its length is dealt out
-by salted windows, so a length that a third of all pieces share is no single task's work.
+packing that placing pieces one at a time gives. A full piece is a sequence of its own and needs no rank. The rank of
+any other in its length is dealt out by salted windows of about ``PART`` pieces, so a length that a
+third of all pieces share is no single task's work.
 
 Edges: a null or empty text is one piece, the end id alone. A null id stays null. Rows that
 repeat are packed as often as they occur. An empty table gives no rows. Other columns are not
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from goldpan.scratch import Scratch
 
-#: Parts in which the pieces of one length are ranked.
-SALTS = 64
+#: Pieces of one length that one task ranks, about.
+PART = 50_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -36,14 +37,14 @@ def tokenizer(path: str):
     """text -> list of ids, as the tokenizers library gives them for the file at path.
 
     Where the same vocabulary lies beside it as ranks, tiktoken encodes texts of the Latin
-    scripts, five times as fast and with the same ids; any other text, and any that tiktoken
-    refuses, goes to the tokenizers library. Special tokens' strings are ordinary text.
+    scripts, five times as fast and with the same ids; any other text, any that holds the string of a
+    special token, and any that tiktoken refuses, goes to the tokenizers library.
     """
     import public_tokenizers
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    special = [t.content for t in slow.get_added_tokens_decoder().values()]
 
     def by_file(text: str) -> list[int]:
         return slow.encode(text, add_special_tokens=False).ids
@@ -58,7 +59,7 @@ def tokenizer(path: str):
     fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def both(text: str) -> list[int]:
-        if text.isascii() or max(text) < "ɐ":
+        if (text.isascii() or max(text) < "ɐ") and not any(t in text for t in special):
             try:
                 return fast.encode_ordinary(text)
             except BaseException as e:  # noqa: BLE001  a Rust panic is no Exception
@@ -174,21 +175,20 @@ def pack(pieces: DataFrame, capacity: int = 1024, scratch: Scratch | None = None
     spark = pieces.sparkSession
     scratch = scratch or Scratch(spark, "packing")
     pieces = scratch.table(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
-    # At most capacity x SALTS rows, whatever the input.
-    sums = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
-    sums = sums.withColumn("_ahead", F.sum("n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("n"))
-    sums = sums.collect()
-    counts: dict[int, int] = {}
-    for r in sums:
-        counts[r["length"]] = counts.get(r["length"], 0) + r["n"]
-    runs = np.array(best_fit(counts, capacity), dtype=np.int64).reshape(-1, 6)
-    starts = {int(s): np.flatnonzero(runs[:, 0] == s) for s in counts}
-    ahead = spark.createDataFrame([(r["length"], r["_salt"], r["_ahead"]) for r in sums], "length long, _salt int, _ahead long")
-    ranked = salted.join(F.broadcast(ahead), ["length", "_salt"])
+    short = pieces.where(F.col("length") < capacity)
+    lengths = {r["length"]: r["n"] for r in short.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity - 1
+    salts = max(1, -(-max(lengths.values(), default=1) // PART))
+    salted = short.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int"))
+    # At most capacity x salts rows, which aren't collected.
+    ahead = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
+    ahead = ahead.select("length", "_salt", (F.sum("n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("n")).alias("_ahead"))
+    ranked = salted.join(scratch.table(ahead, "ahead"), ["length", "_salt"])
     ranked = ranked.withColumn("_rank", F.col("_ahead") + F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_row")) - 1)
-    ranked = ranked.drop("_ahead", "_salt", "_row")
-    names = [c for c in ranked.columns if c != "_rank"]
+    runs = np.array(best_fit(lengths, capacity), dtype=np.int64).reshape(-1, 6)
+    starts = {int(s): np.flatnonzero(runs[:, 0] == s) for s in lengths}
+    bins = int((runs[:, 4] + -(-runs[:, 2] // runs[:, 3])).max(initial=0))
+    names = [c for c in pieces.columns if c != "_row"]
+    ranked = ranked.select(*names, "_rank")
     shared = spark.sparkContext.broadcast((runs, starts))  # its size depends on capacity alone
     schema = ranked.select(*names).schema.add("sequence_id", "long").add("offset", "long")
 
@@ -205,7 +205,9 @@ def pack(pieces: DataFrame, capacity: int = 1024, scratch: Scratch | None = None
             k = rank - first
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(bin0 + k // each), pa.array(offset + k % each * size)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, schema)
+    full = pieces.where(F.col("length") == capacity)
+    full = full.select(*names, (F.lit(bins).cast("long") + F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return ranked.mapInArrow(place, schema).unionByName(full)
 
 
 def default_tokenizer() -> str:

@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from goldpan.llm import marks
 from goldpan.operators.components import connected_components
 from goldpan.scratch import Scratch
 
@@ -253,10 +254,15 @@ def keep_one(docs: DataFrame, radius: int = 3, size: int = 3, id_col: str = "doc
     """The documents less those that are in another's component: the smallest doc_id of each stays.
 
     Rows that share this doc_id all stay, and so do rows without an id in a component without any.
+    Only texts that may have to go, by a table of bits, cross a shuffle.
     """
+    scratch = Scratch(docs.sparkSession, "keep-one")
     found = near_duplicates(docs, radius, size, id_col, text_col)
     drop = found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_goldpan_id"), F.col("h").alias("_goldpan_h")).distinct()
-    return docs.join(drop, docs[id_col].eqNullSafe(F.col("_goldpan_id")) & (F.xxhash64(docs[text_col]) == F.col("_goldpan_h")), "left_anti")
+    drop = scratch.table(drop.withColumn("_goldpan_at", F.xxhash64("_goldpan_id", "_goldpan_h")), "drop")
+    suspect = marks.membership(drop, "_goldpan_at", scratch)(F.xxhash64(docs[id_col], F.xxhash64(docs[text_col])))
+    same = docs[id_col].eqNullSafe(F.col("_goldpan_id")) & (F.xxhash64(docs[text_col]) == F.col("_goldpan_h"))
+    return docs.where(~suspect).union(docs.where(suspect).join(drop, same, "left_anti"))
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -69,7 +69,6 @@ def test_packing_edges(spark):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(packing.default_tokenizer())
-    whole.encode_special_tokens = True
     for text in ("a b " * 30, "ünï <|endoftext|> 語", "tab\t\n  x", "don't STOP 123"):
         assert encode(text) == whole.encode(text, add_special_tokens=False).ids
     ids = np.array([*encode("a b " * 3000), 2], "<u4")
@@ -118,6 +117,32 @@ def plain_mix(rows, weights=(1, 2, 3), top=3):
     return target, taken
 
 
+def test_ids_are_the_tokenizers_library_s(spark):
+    """On a whole table, and the pieces are the documents."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.default_tokenizer())
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {}
+    for r in packing.tokenized(docs, packing.default_tokenizer(), keep_ids=True).orderBy("doc_id", "piece").collect():
+        got.setdefault(r["doc_id"], []).extend(r["ids"])
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        assert got[doc_id] == [*whole.encode(text or "", add_special_tokens=False).ids, 2]
+
+
+def test_pack_ranks_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART", 7)
+    rng = random.Random(2)
+    sizes = [rng.choice([3, 3, 3, 5, 6, 9, 10]) for _ in range(300)]
+    got = packing.pack(spark.createDataFrame(list(enumerate(sizes)), "doc_id long, length long"), 10).collect()
+    ends = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert len(got) == 300 and max(ends.values()) <= 10
+    assert sorted(10 - n for n in ends.values()) == plain_best_fit(sizes, 10)
+
+
 def test_mixing_against_a_plain_version(spark):
     rng = random.Random(5)
     rows = [(i, " ".join("x" * rng.randint(0, 40)), rng.choice(["a", "a", "a", "a", "b", "c", "é", None]), 1) for i in range(400)]

@@ -112,3 +112,34 @@ def test_packing_stage_and_run(staged, spark):
         ends[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(ends.values()) <= 1024
     assert corpus_pipeline.run(spark, sf).count() == len(packed)
+
+
+def staged_rows(spark, root, docs):
+    docs.write.parquet(f"{root}/sf/documents.parquet")
+    docs = spark.read.parquet(f"{root}/sf/documents.parquet")
+    out = []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, f"{root}/sf").write.parquet(f"{root}/{name}")
+        docs = spark.read.parquet(f"{root}/{name}")
+        out.append(docs.collect())
+    return out
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    assert [len(x) for x in staged_rows(spark, tmp_path, spark.createDataFrame([], SCHEMA))] == [0] * 5
+
+
+def test_stages_keep_odd_rows_and_columns(spark, tmp_path):
+    """Null ids and sources, rows that repeat, a very long text, columns named as the operators' own."""
+    names = ["o", "h", "s", "t", "c", "f", "no", "node", "unit", "start", "_key", "copies", "length", "file", "row", "row_id", "size"]
+    rows = [r for r in documents() if r[1]]
+    long = " ".join(rows[k % 100][1] for k in range(3000))
+    rows += [(None, rows[7][1] + " x1", "en", None, 3), (None, None, None, None, None), rows[9], rows[9], (900, long, "en", "a", len(long))]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], SCHEMA + "".join(f", {n} int" for n in names))
+    *out, packed = staged_rows(spark, tmp_path, docs)
+    for found in out:
+        assert all(tuple(r)[5:] == tuple(range(len(names))) for r in found) and found
+    assert all(any(r["doc_id"] == 900 for r in found) for found in out[:3])
+    assert any(r["doc_id"] is None for r in out[2]) or not any(r["doc_id"] is None for r in out[1])
+    assert sum(r["doc_id"] == rows[9][0] for r in out[0]) == 3  # rows that repeat stay, as one document in the line stage
+    assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(r["doc_id"] for r in out[3])
