@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
@@ -14,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir.
 
-    Only where that setting is absent (a local session, as in tests) is a
+    Only where that setting is absent and the session is local, as in tests, is a
     temporary folder made and remembered in the session.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local") or "cluster" in spark.conf.get("spark.master", "local"):
+            raise RuntimeError("on a cluster spark.checkpoint.dir has to name a folder that all executors share")
         made = tempfile.mkdtemp(prefix="goldpan-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         base = f"file://{made}"
@@ -26,6 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_gatherers: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def gathered():
+    """A list of the folders that are opened inside, for whoever knows when their results are written."""
+    found: list[Scratch] = []
+    _gatherers.append(found)
+    try:
+        yield found
+    finally:
+        _gatherers.remove(found)
+
+
 class Scratch:
     """One operator run's own folder below the shared one.
 
@@ -36,6 +53,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/goldpan/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        for found in _gatherers:
+            found.append(self)
 
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write df as Parquet and read it back; the plan above it is cut."""
@@ -54,9 +73,15 @@ class Scratch:
         gc.collect()
         self.spark._jvm.System.gc()
 
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
-        jvm = self.spark._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._goldpan_path)
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            self._delete(t._goldpan_path)
+
+    def clear(self) -> None:
+        """Delete all tables, once what was made of them is written."""
+        self._delete(self.root)
