@@ -1,25 +1,28 @@
 r"""Language-model scoring by masked pseudo-likelihood.
 
 Tokens are the words ``\w+`` and single other visible characters of the lower-cased text. A token's
-probability given both sides is p(class | two tokens before, two after) x p(token | class):
-
-* The words of all documents are counted. The most frequent are classes of their own, the next
-  ``top`` share the middle classes, in bands of equal count, and all others are the rare class.
-  Within a class a token has its share of the counts, in the rare class too, whose counts are one
-  more for words never seen. Only the classes are bounded: the counts of all words stay a table.
-* The class is predicted by a window network, trained in numpy: the classes of the four
-  neighbours, or the document's edge, choose rows of four tables, whose sum goes through tanh and a
-  softmax layer. Every window of every document trains it (``share`` = 1; if more, one in
-  ``share`` by a hash of its place and its text's row). Each task takes Adagrad steps from common
-  weights and returns its own; these are averaged by windows, in a tree, for ``rounds`` rounds.
+probability given both sides, the two tokens before and the two after, has three factors:
+
+* p(class | sides) x p(slot | class, sides), by a window network. The ``own`` most frequent words have
+  a slot each, all others share the remaining slots by their CRC-32, so every word's probability
+  depends on its sides. Slots are cut into classes in the order of frequency.
+* p(word | slot): the word's share of its slot's counts, which are one more for words never seen. The
+  words of all documents are counted, and the counts of all of them stay a table: only the
+  slots are bounded.
+
+The network is trained in numpy: the slots of the four neighbours, or the document's edge, choose rows of
+four tables, whose sum goes through tanh to the two softmax layers. Every window of every document
+trains it once: those of one document in ``LEAD``, by a hash, give the weights that all others start
+from. Each task takes Adagrad steps from these and returns its own weights, averaged by windows in a
+tree, so the last digits of scores depend on how the files are cut into tasks.
 
 A document's score is the sum of log p over all its tokens, each predicted once from both sides.
 
-Plan: two passes over the text (counts, and the tokens as numbers, which are written) and three over
-the numbers (two rounds, scores), none of which moves text. Rare words, a row for each time one
-occurs, meet the table of counts in a join by word; none of them has over 1 / ``top`` of all tokens. What is
-counted grows with the corpus; what is broadcast (``top`` words, one network) and what the driver
-collects (the same, and at most ``TREE`` networks at once) doesn't.
+Plan: two passes over the text (counts, and the tokens as numbers, which are written) and two over
+the numbers (training, scores), none of which moves text. Words beyond the ``top`` most frequent, a row for
+each time one occurs, meet the table of counts in a join by word; none of them has over 1 / ``top`` of
+all tokens. What is counted grows with the corpus; what is broadcast (``top`` words, one network) and
+what the driver collects (the same, and at most ``TREE`` networks at once) doesn't.
 
 Edges: a null or empty text, or one of white space only, has 0 tokens, pseudo_logp 0 and a null
 mean_logp. Long texts are scored in parts with their true neighbours. Rows that repeat count and
@@ -30,6 +33,7 @@ gives no rows. Ids may be null. Other columns aren't read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -41,7 +45,8 @@ from goldpan.scratch import Scratch
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 SIDES = (-2, -1, 1, 2)
-EDGE = 0  # the class of a place outside the document
+CLASSES, MEMBERS, HIDDEN = 32, 64, 15
+LEAD = 8
 FLUSH, PART = 300_000, 1 << 16
 TREE = 64
 
@@ -51,99 +56,160 @@ def tokens(text: str | None) -> list[str]:
 
 
 class Vocabulary:
-    """Words by falling count, their classes and their log share in the class."""
+    """Words by falling count, their slots and their log share in the slot.
+
+    A word's number is its place among ``words`` or, for any other, len(words) plus its shared slot.
+    shared: the counts of all words of each CRC-32 modulo the number of shared slots.
+    """
 
-    def __init__(self, words: list[str], counts: list[int], rare_words: int, rare_count: int, classes: int = 128, own: int = 96):
+    def __init__(self, words: list[str], counts: list[int], shared: np.ndarray, classes: int = CLASSES, members: int = MEMBERS):
         self.at = {w: i for i, w in enumerate(words)}
-        n = np.array([*counts, 0], dtype=np.float64)
-        self.classes = classes
-        self.cls = np.full(len(n), classes - 1, np.int16)  # the last entry is every rare word
-        self.cls[: min(own, len(words))] = 1 + np.arange(min(own, len(words)))
-        if len(words) > own:
-            mass = np.cumsum(n[own:-1])
-            bands = classes - own - 2
-            self.cls[own:-1] = own + 1 + np.minimum((mass - n[own:-1]) * bands // mass[-1], bands - 1).astype(np.int16)
-        total = np.bincount(self.cls[:-1], n[:-1], minlength=classes)
-        with np.errstate(divide="ignore"):
-            self.within = np.where(n > 0, np.log(n) - np.log(np.maximum(total, 1))[self.cls], 0.0)
-        self.within[-1] = -np.log(rare_count + 1)  # of a rare word seen once; score() adds the log of its count
-        self.rare_words = rare_words
+        self.classes, self.members, self.shared = classes, members, len(shared)
+        self.slots = classes * members
+        own = min(self.slots - self.shared, len(words))
+        n = np.array(counts, dtype=np.float64)
+        code = np.array([zlib.crc32(w.encode()) % self.shared for w in words], np.int64)
+        left = np.asarray(shared, np.float64) - np.bincount(code[:own], n[:own], minlength=self.shared)
+        slot = np.r_[np.arange(own), self.slots - self.shared + code[own:], self.slots - self.shared + np.arange(self.shared)]
+        self.slot = slot.astype(np.int16)  # by number
+        self.within = np.r_[np.zeros(own), np.log(n[own:]) - np.log(left[code[own:]] + 1), -np.log(left + 1)]  # of a word seen once; score() adds the log of its count
+        mass = np.full(self.slots, 0.5)
+        mass[:own] += n[:own]
+        mass[self.slots - self.shared :] += left
+        self.share = mass / mass.sum()
         self.counts: DataFrame | None = None  # of all words, where the driver knows them
-        total[-1] += rare_count
-        self.prior = np.log(np.maximum(total, 0.5) / max(total.sum(), 1)).astype(np.float32)
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "counts": None}
 
     def numbers(self, found: list[str]) -> np.ndarray:
-        get, rare = self.at.get, len(self.at)
-        return np.fromiter((get(t, rare) for t in found), np.int32, len(found))
+        get, top, shared = self.at.get, len(self.at), self.shared
+        out = [get(t, -1) for t in found]
+        row = np.array(out, np.int32)
+        for k in np.flatnonzero(row < 0).tolist():
+            row[k] = top + zlib.crc32(found[k].encode()) % shared
+        return row
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.numbers(tokens(text))
 
 
 class Network:
-    """Window network over classes: four tables, tanh, softmax."""
+    """Window network: four tables of rows by slot, tanh, a softmax over classes and one over the slots of a class.
+
+    The last column of both output layers is the bias. Weights stay within LIMIT, so no exponential overflows.
+    """
+
+    LIMIT = 4.0
 
-    def __init__(self, classes: int, hidden: int = 32, prior: np.ndarray | None = None, seed: int = 5):
+    def __init__(self, classes: int = CLASSES, members: int = MEMBERS, hidden: int = HIDDEN, share: np.ndarray | None = None, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.classes, self.hidden = classes, hidden
-        self.tables = (rng.standard_normal((len(SIDES), classes, hidden)) * 0.1).astype(np.float32)
-        self.out = (rng.standard_normal((hidden, classes)) * 0.1).astype(np.float32)
-        self.bias = np.zeros(classes, np.float32) if prior is None else prior.astype(np.float32)
+        self.classes, self.members, self.hidden = classes, members, hidden
+        slots = classes * members
+        self.edge = slots  # the slot of a place outside the document
+        self.tables = (rng.standard_normal((len(SIDES), slots + 1, hidden)) * 0.1).astype(np.float32)
+        self.top = (rng.standard_normal((classes, hidden + 1)) * 0.1).astype(np.float32)
+        self.low = (rng.standard_normal((slots, hidden + 1)) * 0.1).astype(np.float32)
+        share = (np.full(slots, 1 / slots) if share is None else share).reshape(classes, members)
+        mass = share.sum(axis=1, keepdims=True)
+        self.top[:, -1] = np.log(mass[:, 0])
+        self.low[:, -1] = np.log(share / mass).ravel()
 
     def weights(self) -> np.ndarray:
-        return np.concatenate([self.tables.ravel(), self.out.ravel(), self.bias])
+        return np.concatenate([self.tables.ravel(), self.top.ravel(), self.low.ravel()])
 
     def with_weights(self, w: np.ndarray) -> Network:
         new = Network.__new__(Network)
-        new.classes, new.hidden = self.classes, self.hidden
-        a, b = self.tables.size, self.out.size
-        w = np.asarray(w, np.float32)
-        new.tables, new.out, new.bias = w[:a].reshape(self.tables.shape), w[a : a + b].reshape(self.out.shape), w[a + b :]
+        new.__dict__.update(self.__dict__)
+        w = np.array(w, np.float32)
+        a, b = self.tables.size, self.tables.size + self.top.size
+        new.tables, new.top, new.low = w[:a].reshape(self.tables.shape), w[a:b].reshape(self.top.shape), w[b:].reshape(self.low.shape)
         return new
 
     def layer(self, context: np.ndarray) -> np.ndarray:
-        h = self.tables[0][context[0]]
+        """The hidden layer and a column of ones; context has a row for each side."""
+        h = np.empty((context.shape[1], self.hidden + 1), np.float32)
+        total = self.tables[0].take(context[0], axis=0)
         for k in range(1, len(SIDES)):
-            h += self.tables[k][context[k]]
-        return np.tanh(h, out=h)
+            total += self.tables[k].take(context[k], axis=0)
+        np.tanh(total, out=h[:, :-1])
+        h[:, -1] = 1
+        return h
+
+    def blocks(self, target: np.ndarray) -> list[tuple[int, int, int]]:
+        """(class, begin, end) in sorted targets."""
+        ends = np.searchsorted(target, np.arange(1, self.classes + 1) * self.members)
+        return [(c, a, b) for c, (a, b) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())) if b > a]
 
     def log_p(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log p(target | context); context has a row for each side."""
-        z = self.layer(context) @ self.out
-        z += self.bias
-        z -= z.max(axis=1, keepdims=True)
-        own = z[np.arange(len(z)), target]
-        np.exp(z, out=z)
-        return own - np.log(z.sum(axis=1))
-
-    def gradient(self, context: np.ndarray, target: np.ndarray, one: np.ndarray | None = None) -> np.ndarray:
-        """Of the mean loss, in the order of weights(). one: zeros to work in, zeros again afterwards."""
-        n = len(target)
-        h = self.layer(context)
-        z = self.out.T @ h.T  # a row for each class, so sums and maxima run along rows
-        z += self.bias[:, None]
-        z -= z.max(axis=0)
+        """log p(target | context). Targets are sorted."""
+        h, m = self.layer(context), self.members
+        own = np.einsum("ij,ij->i", h, self.top[target // m] + self.low[target])
+        total = np.empty(len(h), np.float32)
+        for c, a, b in self.blocks(target):
+            z = h[a:b] @ self.low[c * m : (c + 1) * m].T
+            np.exp(z, out=z).sum(axis=1, out=total[a:b])
+        z = h @ self.top.T
+        return own - np.log(total) - np.log(np.exp(z, out=z).sum(axis=1))
+
+    def _expected(self, h: np.ndarray, w: np.ndarray, scale: np.float32, back: np.ndarray) -> np.ndarray:
+        """What all outputs w add to the gradients, of h in ``back`` and of w."""
+        z = h @ w.T
         np.exp(z, out=z)
-        z /= z.sum(axis=0) * np.float32(n)
-        z[target, np.arange(n)] -= np.float32(1 / n)
-        back = (self.out @ z).T * (1 - h * h)
-        if one is None or one.shape[1] != n:
-            one = np.zeros((len(SIDES) * self.classes, n), np.float32)
-        row, col = context + np.arange(0, len(one), self.classes)[:, None], np.arange(n)
-        one[row, col] = 1
-        tables = one @ back
-        one[row, col] = 0
-        return np.concatenate([tables.ravel(), (h.T @ z.T).ravel(), z.sum(axis=1)])
-
-
-def windows(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The classes of all tokens of some documents in a row, padded by edges, and the tokens' places."""
-    pad = np.full(2, EDGE, np.int16)
-    row = np.concatenate([pad, *(x for c in classes for x in (c, pad))])
-    sizes = np.array([len(c) for c in classes])
+        ones = w.copy()
+        ones[:, -1] = 1  # the product's last column is then the sum
+        r = z @ ones
+        s = scale / r[:, -1:]
+        back += r * s
+        return z.T @ (h * s)
+
+    def gradient(self, context: np.ndarray, target: np.ndarray):
+        """Of the mean loss: (rows, values) of each table, and of both output layers. Targets are sorted."""
+        scale, h, m = np.float32(1 / len(target)), self.layer(context), self.members
+        back = np.zeros_like(h)
+        first = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
+        sums, slots = np.add.reduceat(h, first, axis=0) * scale, target[first]
+        top, low = self._expected(h, self.top, scale, back), np.zeros_like(self.low)
+        np.subtract.at(top, slots // m, sums)
+        for c, a, b in self.blocks(target):
+            low[c * m : (c + 1) * m] = self._expected(h[a:b], self.low[c * m : (c + 1) * m], scale, back[a:b])
+        low[slots] -= sums
+        back -= scale * (self.top[target // m] + self.low[target])
+        back = back[:, :-1] * (1 - h[:, :-1] ** 2)
+        tables = []
+        for k in range(len(SIDES)):
+            order = np.argsort(context[k], kind="stable")
+            row = context[k][order]
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            tables.append((row[first], np.add.reduceat(back.take(order, axis=0), first, axis=0)))
+        return tables, top, low
+
+
+class Adagrad:
+    def __init__(self, network: Network, rate: float):
+        self.net, self.rate = network, np.float32(rate)
+        self.squares = network.with_weights(np.full(network.weights().size, 1e-8, np.float32))
+
+    def step(self, context: np.ndarray, target: np.ndarray) -> None:
+        net, squares, rate = self.net, self.squares, self.rate
+        order = np.argsort(target, kind="stable")
+        tables, top, low = net.gradient(context[:, order], target[order])
+        for k, (rows, g) in enumerate(tables):
+            s = squares.tables[k][rows] + g * g
+            squares.tables[k][rows] = s
+            net.tables[k][rows] -= rate * g / np.sqrt(s)
+        for w, s, g in ((net.top, squares.top, top), (net.low, squares.low, low)):
+            s += g * g
+            w -= rate * g / np.sqrt(s)
+            np.clip(w[:, :-1], -net.LIMIT, net.LIMIT, out=w[:, :-1])
+            np.clip(w[:, -1], -4 * net.LIMIT, net.LIMIT, out=w[:, -1])
+
+
+def windows(slots: list[np.ndarray], edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of all tokens of some documents in a row, padded by edges, and the tokens' places."""
+    pad = np.full(2, edge, np.int16)
+    row = np.concatenate([pad, *(x for s in slots for x in (s, pad))])
+    sizes = np.array([len(s) for s in slots])
     starts = 2 + np.cumsum(sizes + 2) - (sizes + 2)
     place = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
     return row, place
@@ -163,7 +229,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tex
                     found = tokens(text.as_py())
                     numbers = shared.value.numbers(found)
                     ids.append(numbers.tobytes())
-                    rare.append([found[k] for k in np.flatnonzero(numbers == len(shared.value.at)).tolist()])
+                    rare.append([found[k] for k in np.flatnonzero(numbers >= len(shared.value.at)).tolist()])
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string())), part.column(1)], names=["ids", "rare", "doc_id"])
 
     return docs.select(text_col, id_col).mapInArrow(run, f"ids binary, rare array<string>, doc_id {kind}").withColumn("at", F.monotonically_increasing_id())
@@ -208,26 +274,19 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def learn_vocabulary(docs: DataFrame, top: int = 20_000, classes: int = 128, own: int = 96, text_col: str = "text", scratch: Scratch | None = None) -> Vocabulary:
+def learn_vocabulary(docs: DataFrame, top: int = 50_000, classes: int = CLASSES, members: int = MEMBERS, text_col: str = "text", scratch: Scratch | None = None) -> Vocabulary:
     scratch = scratch or Scratch(docs.sparkSession, "lm")
     counts = scratch.table(count_words(docs, text_col), "words")
     best = counts.orderBy(F.col("n").desc(), "word").limit(top).collect()
-    whole = counts.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    vocabulary = Vocabulary([r["word"] for r in best], [r["n"] for r in best], whole["words"] - len(best), whole["n"] - sum(r["n"] for r in best), classes, own)
+    shared = np.zeros(max(1, classes * members // 4))
+    code = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(len(shared)))
+    for r in counts.groupBy(code.alias("code")).agg(F.sum("n").alias("n")).collect():  # at most as many as shared slots
+        shared[r["code"]] = r["n"]
+    vocabulary = Vocabulary([r["word"] for r in best], [r["n"] for r in best], shared, classes, members)
     vocabulary.counts = counts
     return vocabulary
 
 
-def drawn(n: int, share: int, at: int) -> np.ndarray:
-    """Which of a text's n windows train: one in share, by a hash of the place and the text's row."""
-    if share == 1:
-        return np.arange(n)
-    mixed = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((at + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64))
-    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(odd)
-    return np.flatnonzero((mixed ^ (mixed >> np.uint64(31))) % np.uint64(share) == 0)
-
-
 def summed(parts: DataFrame, scratch: Scratch) -> tuple[np.ndarray, int]:
     """Of rows (weights as bytes of doubles, times their windows; windows) the sum, in a tree."""
 
@@ -255,66 +314,61 @@ def train(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_
     return train_encoded(scratch.table(encoded(docs, vocabulary, id_col, text_col), "encoded"), vocabulary, scratch, **options)
 
 
-def train_encoded(texts: DataFrame, vocabulary: Vocabulary, scratch: Scratch, share: int = 1, rounds: int = 2, hidden: int = 32, batch_size: int = 256, rate: float = 0.1) -> Network:
-    network = Network(vocabulary.classes, hidden, vocabulary.prior)
-    words = texts.sparkSession.sparkContext.broadcast(vocabulary)  # at most top words
+def train_encoded(texts: DataFrame, vocabulary: Vocabulary, scratch: Scratch, hidden: int = HIDDEN, batch_size: int = 4096, rate: float = 0.1, passes: int = 1) -> Network:
+    network = Network(vocabulary.classes, vocabulary.members, hidden, vocabulary.share)
+    slot = texts.sparkSession.sparkContext.broadcast(vocabulary.slot)  # at most top words
 
-    def one_round(start: Network) -> DataFrame:
+    def one_round(texts: DataFrame, start: Network) -> DataFrame:
         def run(batches):
-            net = start.with_weights(start.weights().copy())
-            squares = np.full(net.weights().size, 1e-6, np.float32)
-            seen, contexts, targets, waiting = 0, [], [], 0
-            one = np.zeros((len(SIDES) * net.classes, batch_size), np.float32)
-
-            def step(size: int):
-                nonlocal net, squares, seen, contexts, targets, waiting
-                context, target = np.concatenate(contexts, axis=1), np.concatenate(targets)
+            descent = Adagrad(start.with_weights(start.weights()), rate)
+            seen, held_context, held_target, waiting = 0, [], [], 0
+
+            def steps(size: int):
+                nonlocal seen, held_context, held_target, waiting
+                context, target = np.concatenate(held_context, axis=1), np.concatenate(held_target)
                 order = np.random.default_rng(seen).permutation(len(target))
-                context, target = context[:, order], target[order]
-                for k in range(0, len(order) - size + 1, size):
-                    g = net.gradient(context[:, k : k + size], target[k : k + size], one)
-                    squares += g * g
-                    g *= np.float32(rate)
-                    g /= np.sqrt(squares)
-                    net = net.with_weights(net.weights() - g)
+                last = len(order) - len(order) % size
+                for k in range(0, last, size):
+                    at = order[k : k + size]
+                    descent.step(context[:, at], target[at])
                     seen += size
-                left = len(order) - len(order) % size
-                contexts, targets, waiting = [context[:, left:]], [target[left:]], len(order) - left
-
-            for batch, rows, held in gathered(batches):
-                row, place = windows([words.value.cls[ids] for ids in held])
-                ends = np.cumsum([len(ids) for ids in held])
-                numbers = batch.column(1).take(pa.array(rows)).to_pylist()
-                pick = place[np.concatenate([drawn(len(ids), share, at) + e - len(ids) for ids, e, at in zip(held, ends, numbers)]).astype(np.int64)]
-                contexts.append(np.stack([row[pick + k] for k in SIDES]))
-                targets.append(row[pick])
-                waiting += len(pick)
+                rest = order[last:]
+                held_context, held_target, waiting = [context[:, rest]], [target[rest]], len(rest)
+
+            for _, _, held in gathered(batches):
+                row, place = windows([slot.value[ids] for ids in held], start.edge)
+                held_context.append(np.stack([row[place + k] for k in SIDES]))
+                held_target.append(row[place])
+                waiting += len(place)
                 if waiting >= PART:
-                    step(batch_size)
+                    steps(batch_size)
             if waiting >= batch_size:
-                step(batch_size)
+                steps(batch_size)
             if waiting:
-                step(waiting)
+                steps(waiting)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([(net.weights().astype(np.float64) * seen).tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["w", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([(descent.net.weights().astype(np.float64) * seen).tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["w", "n"])
 
-        return texts.select("ids", "at").mapInArrow(run, "w binary, n long")
+        return texts.select("ids").mapInArrow(run, "w binary, n long")
 
-    for _ in range(rounds):
-        total, n = summed(one_round(network), scratch)
-        if not n:
-            break
-        network = network.with_weights(total / n)
+    lead = F.pmod(F.xxhash64("at"), F.lit(LEAD)) == 0
+    for _ in range(passes):
+        for part in (lead, ~lead):
+            total, n = summed(one_round(texts.where(part), network), scratch)
+            if n:
+                network = network.with_weights(total / n)
     return network
 
 
 def log_probabilities(held: list[np.ndarray], vocabulary: Vocabulary, network: Network, step: int = 8192) -> np.ndarray:
     """log p of every token of some encoded documents, one after another."""
-    row, place = windows([vocabulary.cls[ids] for ids in held])
+    row, place = windows([vocabulary.slot[ids] for ids in held], network.edge)
     out = vocabulary.within[np.concatenate(held)] if held else np.zeros(0)
     for k in range(0, len(place), step):
         at = place[k : k + step]
-        out[k : k + step] += network.log_p(np.stack([row[at + side] for side in SIDES]), row[at])
+        order = np.argsort(row[at], kind="stable")
+        at = at[order]
+        out[k + order] += network.log_p(np.stack([row[at + side] for side in SIDES]), row[at])
     return out
 
 
@@ -341,7 +395,7 @@ def score_encoded(texts: DataFrame, vocabulary: Vocabulary, network: Network) ->
 
     found = texts.select("ids", "doc_id", "at").mapInArrow(run, f"doc_id {kind}, at long, tokens long, p double")
     p = F.col("p")
-    if vocabulary.rare_words and vocabulary.counts is not None:
+    if vocabulary.counts is not None:
         # The log of 1 adds nothing, so words seen once stay out, as do unseen ones.
         seen = vocabulary.counts.where("n > 1").select("word", F.log("n").alias("log_n"))
         more = texts.select(F.col("at").alias("_at"), F.explode("rare").alias("word")).join(seen, "word").groupBy("_at").agg(F.sum("log_n").alias("more"))
@@ -350,7 +404,7 @@ def score_encoded(texts: DataFrame, vocabulary: Vocabulary, network: Network) ->
     return found.select("doc_id", "tokens", p.alias("pseudo_logp"), F.when(F.col("tokens") > 0, p / F.col("tokens")).alias("mean_logp"))
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = 20_000, **options) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = 50_000, **options) -> DataFrame:
     """Learn from all documents and score all of them."""
     scratch = Scratch(docs.sparkSession, "lm")
     vocabulary = learn_vocabulary(docs, top, text_col=text_col, scratch=scratch)

@@ -89,11 +89,19 @@ def sentences(n=150, seed=2):
     return rows + [(500, None), (501, ""), (502, " \n"), (None, "the cat"), (503, "Unseen WORDS"), rows[0], (504, "cat " * 40_000)]
 
 
+def plain_log_p(net, tables, context, target):
+    """One window at a time: the class among all classes, the slot among those of its class."""
+    h = np.append(np.tanh(sum(tables[k][c] for k, c in enumerate(context))), 1)
+    z, m = net.top @ h, net.members
+    low = net.low[target // m * m : (target // m + 1) * m] @ h
+    return z[target // m] - np.log(np.exp(z).sum()) + low[target % m] - np.log(np.exp(low).sum())
+
+
 def test_scores_are_the_sum_over_all_tokens(spark):
     rows = sentences()
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, word string, tokens int")
-    v = lm.learn_vocabulary(docs, classes=32, own=12)
-    net = lm.train(docs, v, share=2, rounds=2, hidden=8)
+    v = lm.learn_vocabulary(docs, classes=4, members=8)
+    net = lm.train(docs, v, hidden=8, batch_size=64)
     got = {}
     for r in lm.score(docs, v, net).collect():
         got.setdefault(r["doc_id"], []).append(r)
@@ -105,10 +113,8 @@ def test_scores_are_the_sum_over_all_tokens(spark):
             continue
         if len(ids) > 1000:
             continue
-        total, cls = 0.0, [0, 0, *v.cls[ids], 0, 0]
-        for k, word in enumerate(ids):  # one token at a time, from both sides
-            context = np.array([[cls[k + 2 + s]] for s in lm.SIDES])
-            total += float(net.log_p(context, np.array([cls[k + 2]]))[0]) + v.within[word]
+        slot = [net.edge, net.edge, *v.slot[ids], net.edge, net.edge]
+        total = sum(plain_log_p(net, net.tables, [slot[k + 2 + s] for s in lm.SIDES], slot[k + 2]) + v.within[word] for k, word in enumerate(ids))
         assert abs(total - got[i][0]["pseudo_logp"]) < 1e-3 * max(1, abs(total))
         assert abs(got[i][0]["mean_logp"] - got[i][0]["pseudo_logp"] / len(ids)) < 1e-9
     assert len(got[0]) == 2 and abs(got[0][0]["pseudo_logp"] - got[0][1]["pseudo_logp"]) < 1e-5 * abs(got[0][0]["pseudo_logp"])
@@ -117,9 +123,9 @@ def test_scores_are_the_sum_over_all_tokens(spark):
 def test_training_learns_both_sides(spark):
     rows = sentences()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    v = lm.learn_vocabulary(docs, classes=32, own=12)
-    net = lm.train(docs, v, share=2, hidden=8)
-    before = lm.Network(v.classes, 8, v.prior)
+    v = lm.learn_vocabulary(docs, classes=4, members=8)
+    net = lm.train(docs, v, hidden=8, batch_size=64)
+    before = lm.Network(v.classes, v.members, 8, v.share)
     mean = lambda n, t: lm.log_probabilities([v.encode(t)], v, n).mean()
     good, bad = "the cat sat . a dog ran . the bird sat .", "sat the . cat dog a . ran sat bird the ."
     assert mean(net, good) > mean(before, good) + 0.5
@@ -127,10 +133,24 @@ def test_training_learns_both_sides(spark):
     assert mean(net, "x y z") < mean(net, good)
 
 
+def test_a_rare_word_depends_on_its_sides(spark):
+    """Words of one shared slot's frequency, each in its own surroundings."""
+    rng = random.Random(6)
+    pairs = {"left": "r%d", "right": "q%d"}
+    rows = [(i, " ".join(f"{side} {pairs[side] % rng.randrange(400)} end" for side in rng.choices(sorted(pairs), k=40))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    v = lm.learn_vocabulary(docs, top=3, classes=4, members=8)
+    net = lm.train(docs, v, hidden=8, batch_size=64, passes=3)
+    word = next(w for w in ("r%d" % k for k in range(400)) if v.numbers([w])[0] >= len(v.at))
+    own = lambda text: lm.log_probabilities([v.encode(text)], v, net)[1]
+    assert own(f"left {word} end") != own(f"right {word} end")
+    assert own(f"left {word} end") > own(f"{word} {word} left") + 0.5  # a frequent word is likelier there
+
+
 def test_rare_words_have_their_counts(spark):
     rows = [(i, "a b " * 5 + " ".join(["often"] * 3 + ["twice"] * (i < 2) + ["once"] * (i == 0))) for i in range(6)] + [(None, None), (0, "often"), (0, "often")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    v = lm.learn_vocabulary(docs, top=2, classes=8, own=2)
+    v = lm.learn_vocabulary(docs, top=2, classes=2, members=2)  # one shared slot
     net = lm.train(docs, v, hidden=8)
     asked = [*rows, (90, "twice"), (91, "once"), (92, "never"), (93, "never often")]
     got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["tokens"], r["pseudo_logp"]) for r in lm.score(spark.createDataFrame(asked, docs.schema), v, net).collect())
@@ -138,39 +158,37 @@ def test_rare_words_have_their_counts(spark):
     want = []
     for i, t in asked:
         words = lm.tokens(t)
-        p = lm.log_probabilities([v.encode(t)], v, net).sum() + sum(np.log(count.get(w, 1)) for w in words if w not in "ab")
+        p = lm.log_probabilities([v.encode(t)], v, net).sum() + sum(np.log(count.get(w, 1)) for w in words if w not in v.at)
         want.append((i is not None, i or 0, len(words), float(p)))
     assert np.allclose(got, sorted(want), rtol=1e-5, atol=1e-5) and len(got) == len(asked)
     single = {i: p for _, i, _, p in got}
     assert abs(single[90] - single[91] - np.log(2)) < 1e-5
-    # The shares of the rare class, with one for unseen words, add up to 1.
-    assert abs(sum(count.values()) * np.exp(v.within[-1]) + np.exp(v.within[-1]) - 1) < 1e-9
+    # The shares of the shared slot, with one for unseen words, add up to 1.
+    rare = np.exp(v.within[-1])
+    assert abs(sum(n for w, n in count.items() if w not in v.at) * rare + rare - 1) < 1e-9
 
 
-def test_every_window_trains(spark, monkeypatch):
+def test_every_window_trains_once(spark, monkeypatch):
     seen = []
     rows = [(i, " ".join(["a", "b", "c"][(i + k) % 3] for k in range(i))) for i in range(40)] + [(0, None), (3, "a b c"), (3, "a b c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    v = lm.learn_vocabulary(docs, classes=8, own=3)
+    v = lm.learn_vocabulary(docs)
     whole = lm.summed
     monkeypatch.setattr(lm, "summed", lambda *a: seen.append(whole(*a)) or seen[-1])
     lm.pseudo_likelihood(docs)
-    assert [n for _, n in seen] == [sum(len(v.encode(t)) for _, t in rows)] * 2
-
-
-def test_no_length_is_never_drawn():
-    for n in range(1, 40):
-        drawn = [lm.drawn(n, 16, at) for at in range(400)]
-        assert 0.6 < sum(map(len, drawn)) * 16 / (400 * n) < 1.5
-        assert len(np.unique(np.concatenate(drawn))) == n  # texts of one length train different places
+    assert sum(n for _, n in seen) == sum(len(v.encode(t)) for _, t in rows) and len(seen) == 2
 
 
 def test_gradient_is_the_slope():
     rng = np.random.default_rng(0)
-    net = lm.Network(6, 4, seed=1)
-    context, target = rng.integers(0, 6, (4, 7)), rng.integers(0, 6, 7)
-    w, g = net.weights().astype(np.float64), net.gradient(context, target)
-    for k in rng.integers(0, len(w), 25):
+    net = lm.Network(4, 3, 5, seed=1)
+    context, target = rng.integers(0, 13, (4, 40)), np.sort(rng.integers(0, 12, 40))
+    tables, top, low = net.gradient(context, target)
+    whole = np.zeros_like(net.tables)
+    for k, (rows, g) in enumerate(tables):
+        whole[k][rows] = g
+    w, g = net.weights().astype(np.float64), np.concatenate([whole.ravel(), top.ravel(), low.ravel()])
+    for k in [*rng.integers(0, len(w), 25), *rng.integers(whole.size, len(w), 25)]:
         step = np.zeros_like(w)
         step[k] = 1e-2
         slope = (-net.with_weights(w + step).log_p(context, target).mean() + net.with_weights(w - step).log_p(context, target).mean()) / 2e-2
@@ -178,13 +196,14 @@ def test_gradient_is_the_slope():
 
 
 def test_probabilities_sum_to_one():
-    net = lm.Network(6, 4, seed=1)
-    context = np.tile(np.array([[1], [2], [0], [5]]), (1, 6))
+    net = lm.Network(3, 2, 4, seed=1)
+    context = np.tile(np.array([[1], [2], [6], [5]]), (1, 6))
     assert abs(np.exp(net.log_p(context, np.arange(6))).sum() - 1) < 1e-5
-    v = lm.Vocabulary(list("abcdefgh"), [9, 8, 7, 6, 5, 4, 3, 2], 4, 6, classes=6, own=3)
-    for c in range(1, 6):
-        inside = np.exp(v.within[:-1][v.cls[:-1] == c])
-        assert not len(inside) or abs(inside.sum() - 1) < 1e-9
+    v = lm.Vocabulary(list("abcdefgh"), [9, 8, 7, 6, 5, 4, 3, 2], np.array([44.0]), classes=3, members=2)
+    for slot in range(6):
+        inside = np.exp(v.within[:8][v.slot[:8] == slot])
+        unseen = np.exp(v.within[8]) if slot == v.slot[8] else 0
+        assert not len(inside) or abs(inside.sum() + unseen - 1) < 1e-9
 
 
 def test_no_documents(spark):
