@@ -47,8 +47,8 @@ TOKEN = re.compile(r"\w+|[^\w\s]")
 SIDES = (-2, -1, 1, 2)
 CLASSES, MEMBERS, HIDDEN = 32, 64, 15
 LEAD = 8
-FLUSH, PART = 300_000, 1 << 16
-TREE = 64
+FLUSH, PART = 600_000, 1 << 16
+TREE = 16
 
 
 def tokens(text: str | None) -> list[str]:
@@ -191,9 +191,9 @@ class Adagrad:
         self.squares = network.with_weights(np.full(network.weights().size, 1e-8, np.float32))
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
+        """Targets are sorted."""
         net, squares, rate = self.net, self.squares, self.rate
-        order = np.argsort(target, kind="stable")
-        tables, top, low = net.gradient(context[:, order], target[order])
+        tables, top, low = net.gradient(context, target)
         for k, (rows, g) in enumerate(tables):
             s = squares.tables[k][rows] + g * g
             squares.tables[k][rows] = s
@@ -274,7 +274,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def learn_vocabulary(docs: DataFrame, top: int = 50_000, classes: int = CLASSES, members: int = MEMBERS, text_col: str = "text", scratch: Scratch | None = None) -> Vocabulary:
+def learn_vocabulary(docs: DataFrame, top: int = 30_000, classes: int = CLASSES, members: int = MEMBERS, text_col: str = "text", scratch: Scratch | None = None) -> Vocabulary:
     scratch = scratch or Scratch(docs.sparkSession, "lm")
     counts = scratch.table(count_words(docs, text_col), "words")
     best = counts.orderBy(F.col("n").desc(), "word").limit(top).collect()
@@ -288,25 +288,26 @@ def learn_vocabulary(docs: DataFrame, top: int = 50_000, classes: int = CLASSES,
 
 
 def summed(parts: DataFrame, scratch: Scratch) -> tuple[np.ndarray, int]:
-    """Of rows (weights as bytes of doubles, times their windows; windows) the sum, in a tree."""
+    """Of rows (weights as bytes of floats, their windows) the mean by windows, in a tree, and all windows."""
+
+    def mean(rows: list[tuple[bytes, int]]) -> tuple[np.ndarray, int]:
+        n = sum(k for _, k in rows)
+        return sum(np.frombuffer(w, np.float32) * (k / n) for w, k in rows), n
 
     def run(batches):
-        total, n = None, 0
-        for batch in batches:
-            for w, k in zip(batch.column(0), batch.column(1).to_pylist()):
-                w = np.frombuffer(w.as_py(), np.float64)
-                total, n = w + total if total is not None else w, n + k
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["w", "n"])
+        rows = [(w.as_py(), k.as_py()) for batch in batches for w, k in zip(batch.column(0), batch.column(1))]
+        if rows:
+            w, n = mean(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["w", "n"])
 
     parts = scratch.table(parts, "weights")
     while (rows := parts.count()) > TREE:
         less = scratch.table(parts.repartition(-(-rows // TREE)).mapInArrow(run, "w binary, n long"), "weights")
         scratch.drop(parts)
         parts = less
-    found = parts.orderBy("n", "w").collect()
+    found = [(r["w"], r["n"]) for r in parts.orderBy("n", "w").collect()]
     scratch.drop(parts)
-    return sum((np.frombuffer(r["w"], np.float64) for r in found), start=0.0), sum(r["n"] for r in found)
+    return mean(found) if found else (np.zeros(0), 0)
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, **options) -> Network:
@@ -330,6 +331,7 @@ def train_encoded(texts: DataFrame, vocabulary: Vocabulary, scratch: Scratch, hi
                 last = len(order) - len(order) % size
                 for k in range(0, last, size):
                     at = order[k : k + size]
+                    at = at[np.argsort(target[at], kind="stable")]
                     descent.step(context[:, at], target[at])
                     seen += size
                 rest = order[last:]
@@ -347,7 +349,7 @@ def train_encoded(texts: DataFrame, vocabulary: Vocabulary, scratch: Scratch, hi
             if waiting:
                 steps(waiting)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([(descent.net.weights().astype(np.float64) * seen).tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["w", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([descent.net.weights().tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["w", "n"])
 
         return texts.select("ids").mapInArrow(run, "w binary, n long")
 
@@ -356,7 +358,7 @@ def train_encoded(texts: DataFrame, vocabulary: Vocabulary, scratch: Scratch, hi
         for part in (lead, ~lead):
             total, n = summed(one_round(texts.where(part), network), scratch)
             if n:
-                network = network.with_weights(total / n)
+                network = network.with_weights(total)
     return network
 
 
@@ -404,7 +406,7 @@ def score_encoded(texts: DataFrame, vocabulary: Vocabulary, network: Network) ->
     return found.select("doc_id", "tokens", p.alias("pseudo_logp"), F.when(F.col("tokens") > 0, p / F.col("tokens")).alias("mean_logp"))
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = 50_000, **options) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = 30_000, **options) -> DataFrame:
     """Learn from all documents and score all of them."""
     scratch = Scratch(docs.sparkSession, "lm")
     vocabulary = learn_vocabulary(docs, top, text_col=text_col, scratch=scratch)
