@@ -21,8 +21,9 @@ id is shuffled as the empty string. Columns other than id, text and source are n
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from goldpan.llm import WORD
 from goldpan.scratch import Scratch
@@ -38,6 +39,12 @@ def shuffle_key(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def constant(value: object, kind: DataType) -> Column:
+    if isinstance(value, Row):
+        return F.struct(*[constant(v, f.dataType).alias(f.name) for v, f in zip(value, kind.fields)])
+    return F.lit(value).cast(kind)
+
+
 def targets(per_source: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
     """(source, source_size) -> the same rows with their target. One row for each source."""
     every = Window.partitionBy()
@@ -105,7 +112,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
         if last is None:
             return at < over["_bin"]
         mine = F.struct(time.alias("_time"), F.col("_key"), F.col("doc_id"), copy.alias("_copy"), F.col("row_id"))
-        end = F.struct(*[F.lit(last[n]).cast(copies.schema[n].dataType).alias(n) for n in names])
+        end = F.struct(*[constant(last[n], copies.schema[n].dataType).alias(n) for n in names])
         return (at < over["_bin"]) | ((at == over["_bin"]) & (mine <= end))
 
     count = F.lit(0)

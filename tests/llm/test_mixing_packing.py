@@ -164,3 +164,16 @@ def test_mixing_edges(spark):
     assert len(got) == 6 and all(r.taken == 0 for r in got if not r.size)
     assert sum(r.taken for r in got) <= sum(r.size for r in got)
     assert mixing.mix(odd.where("text is null or text = ''")).agg(F.sum("taken")).first() == Row(**{"sum(taken)": 0})
+
+
+def test_mixed_documents_cut_inside_a_source(spark, tmp_path):
+    """Read from files, where the last document is told by its place in them; the budget ends within a range."""
+    rng = random.Random(12)
+    rows = [(i // 2, " ".join("w" for _ in range(rng.randint(1, 9))), rng.choice("abc")) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    got = [r["text"].count("w") for r in mixing.mixed_documents(docs).collect()]
+    size = sum(r[1].count("w") for r in rows)
+    assert size - 9 <= sum(got) <= size
+    again = mixing.mixed_documents(spark.createDataFrame(docs.collect(), docs.schema)).collect()  # not from files
+    assert size - 9 <= sum(r["text"].count("w") for r in again) <= size
