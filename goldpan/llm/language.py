@@ -9,7 +9,7 @@ the softmax of the mean per word, taken ``SHARP`` times (fewer for shorter texts
 Training rows are the labelled rows outside the held-out fold, at most about ``per_lang`` of each
 language, drawn by a hash of the id; that bound is a parameter, and all words of those rows count.
 The model keeps the ``top`` most frequent words of each language and as many n-grams of each order,
-so what is sent to the executors doesn't grow with the input. Language, source and id are never
+each with its counts in all languages, so what is sent to the executors doesn't grow with the input. Language, source and id are never
 inputs of a prediction.
 
 Edges: a null text or one without a letter is ``und`` with score 0. If no known word or letter
@@ -36,7 +36,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 SHARP = 20
 #: Counts that a task holds before it sends them on; words whose scores a task keeps.
-FLUSH, CACHE = 400_000, 200_000
+FLUSH, CACHE = 200_000, 100_000
 
 
 def held_out(id_col: Column, folds: int = 5) -> Column:
@@ -142,20 +142,22 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     def run(batches):
         words: dict[str, Counter] = {}
 
+        def told(lang: str, order: int, seen: Counter):
+            pairs = iter(seen.items())
+            while part := list(itertools.islice(pairs, 50_000)):
+                grams_of, n = zip(*part)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array([order] * len(n), pa.int32()), pa.array(grams_of, pa.string()), pa.array(n, pa.int64())], names=["lang", "order", "gram", "n"])
+
         def sums():
-            out = []
-            for lang, seen in words.items():
-                out += [(lang, 0, w, n) for w, n in seen.items()]
-                for order in ORDERS:
+            for lang in list(words):
+                seen = words.pop(lang)
+                yield from told(lang, 0, seen)
+                for order in ORDERS:  # one order at a time is held
                     inside: Counter = Counter()
                     for w, n in seen.items():
                         for g in grams(w, order):
                             inside[g] += n
-                    out += [(lang, order, g, n) for g, n in inside.items()]
-            words.clear()
-            for k in range(0, len(out), 50_000):
-                columns = zip(*out[k : k + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["lang", "order", "gram", "n"])
+                    yield from told(lang, order, inside)
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -167,7 +169,7 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(run, "lang string, order int, gram string, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, per_lang: int = 5000, top: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, per_lang: int = 5000, top: int = 30_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the labelled rows outside the held-out fold."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -180,7 +182,9 @@ def fit(docs: DataFrame, per_lang: int = 5000, top: int = 20_000, id_col: str =
             share = F.when(F.col("lang") == lang, math.ceil(per_lang / n * 1_000_000)).otherwise(share)
     drawn = labelled.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000)) < share).select("lang", "text")
     best = Window.partitionBy("lang", "order").orderBy(F.col("n").desc(), "gram")
-    rows = count_grams(drawn).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= top).select("order", "gram", "lang", "n").toArrow()
+    ranked = count_grams(drawn).withColumn("_r", F.row_number().over(best))
+    # A gram that any language keeps keeps its counts in all of them.
+    rows = ranked.withColumn("_r", F.min("_r").over(Window.partitionBy("order", "gram"))).where(F.col("_r") <= top).select("order", "gram", "lang", "n").toArrow()
     # Small parts of the table at a time are Python objects.
     parts = (zip(*(c.to_pylist() for c in batch.columns)) for batch in rows.to_batches(max_chunksize=10_000))
     return Model(sorted(sizes, key=lambda s: s.encode()), itertools.chain.from_iterable(parts))
