@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+from pathlib import PurePosixPath
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from goldpan.model import LABELS, SCORED_SOURCES
 from goldpan.operators import metrics
 from goldpan.scratch import Scratch
+from goldpan.sources import store
 from goldpan.sources.readers import row_lines
-from goldpan.sources.writers import file_hash, write_json
 
 
 class System(Protocol):
@@ -23,16 +23,16 @@ class System(Protocol):
     def predict(self, docs: DataFrame) -> DataFrame: ...
 
 
-def guard(rows: DataFrame, path: str | Path, expected_hash: str | None) -> str:
-    """The split's hash, if it has rows, all with human labels, and is the expected file."""
-    if not rows.limit(1).count():
-        raise ValueError("nothing to score")
-    others = [r["label_source"] for r in rows.select("label_source").distinct().where(~F.col("label_source").isin(*SCORED_SOURCES)).collect()]
-    if others:
-        raise AssertionError(f"the split carries non-human labels: {sorted(others)}")
-    actual = file_hash(path)
-    if expected_hash and actual != expected_hash:
-        raise AssertionError(f"split hash mismatch for {path}: expected {expected_hash}, found {actual}")
+def guard(rows: DataFrame, path, expected_hash: str | None) -> str:
+    """The split's hash, if it has rows, all labelled by people, and is the expected file."""
+    found = rows.agg(F.count("*").alias("n"), F.collect_set(F.when(~F.col("label_source").isin(*SCORED_SOURCES), F.col("label_source"))).alias("others")).first()
+    if not found["n"]:
+        raise ValueError(f"{path} has no rows to score")
+    if found["others"]:
+        raise AssertionError(f"{path} holds labels that no person gave: {', '.join(sorted(found['others']))}")
+    actual = store.file_hash(path)
+    if expected_hash not in (None, "", actual):
+        raise AssertionError(f"{path} has changed: its hash is {actual}, not {expected_hash}")
     return actual
 
 
@@ -46,7 +46,7 @@ def joined(rows: DataFrame, predictions: DataFrame, name: str, n: int, as_name:
     return found
 
 
-def score(spark: SparkSession, system: System, path: str | Path, expected_hash: str | None = None, comparators: dict[str, DataFrame] | None = None, bootstrap: int = 2000, seed: int = 0, mode: str = "replay") -> dict:
+def score(spark: SparkSession, system: System, path, expected_hash: str | None = None, comparators: dict[str, DataFrame] | None = None, bootstrap: int = 2000, seed: int = 0, mode: str = "multinomial") -> dict:
     """A report on one system. comparators: name -> (example_id, pred) of systems to compare with."""
     scratch = Scratch(spark, "harness")
     rows = scratch.table(row_lines(spark, str(path)), "rows")
@@ -67,7 +67,7 @@ def score(spark: SparkSession, system: System, path: str | Path, expected_hash:
         table[r["gold"]][r["pred"]] = r["n"]
     return {
         "system": system.name,
-        "split": Path(path).stem,
+        "split": PurePosixPath(str(path)).stem,
         "split_hash": digest,
         "n": n,
         "macro_f1": interval(metrics.bootstrap_macro_f1(scored, bootstrap, seed, mode)),
@@ -87,5 +87,5 @@ def interval(found: dict) -> dict:
     return out | {"ci95": [found["low"], found["high"]]}
 
 
-def write_report(report: dict, out_dir: str | Path) -> Path:
-    return write_json(report, Path(out_dir) / f"{report['system']}.{report['split']}.json")
+def write_report(report: dict, out_dir) -> str:
+    return store.write_json(report, f"{out_dir}/{report['system']}.{report['split']}.json")

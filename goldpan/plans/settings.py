@@ -9,13 +9,15 @@ import json
 #: The defaults. Paths are empty until given, as nothing is downloaded.
 DEFAULTS: dict = {
     "task": "financial-sentiment",
+    "task_input": "sentence",
+    "labels": ["negative", "neutral", "positive"],
     "seed": 20260821,
     "data": {
         "primary_path": "", "secondary_paths": [], "spans_path": "", "out_dir": "data/processed/pool",
         "n_test": 1000, "n_dev": 500, "dedup_threshold": 0.5, "cut_order": "replay",
     },
     "lexicons": {"reported_path": "", "supported_path": ""},
-    "eval": {"bootstrap": 10000, "mode": "replay", "alpha": 0.05, "correction": "holm"},
+    "eval": {"bootstrap": 10000, "mode": "multinomial", "alpha": 0.05, "correction": "holm", "primary_metric": "macro_f1"},
     "runs": {"registry": "runs/registry.jsonl", "reports": "runs/reports"},
     "gate": {"least_multi_label": 100},
 }
@@ -39,19 +41,25 @@ def parse_value(text: str):
         return text
 
 
+def merged(config: dict, more: dict) -> dict:
+    """config with what more has, dictionaries within dictionaries; neither is changed."""
+    out = dict(config)
+    for key, value in more.items():
+        out[key] = merged(out[key], value) if isinstance(value, dict) and isinstance(out.get(key), dict) else value
+    return out
+
+
 def override(config: dict, items: list[str]) -> dict:
     """A copy of config with every ``a.b=value`` set; parents that are missing are made."""
-    out = copy.deepcopy(config)
     for item in items:
-        path, eq, text = item.partition("=")
+        names, eq, text = item.partition("=")
         if not eq:
-            raise ValueError(f"an override is key=value, not {item!r}")
-        *parents, last = path.split(".")
-        at = out
-        for name in parents:
-            at = at.setdefault(name, {})
-        at[last] = parse_value(text)
-    return out
+            raise ValueError(f"expected key=value: {item!r}")
+        value = parse_value(text)
+        for name in reversed(names.split(".")):
+            value = {name: value}
+        config = merged(config, value)
+    return copy.deepcopy(config)
 
 
 def config_hash(config: dict) -> str:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import io
 import zipfile
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from goldpan.functions import stemming
 from goldpan.functions.text import strip
@@ -16,6 +16,7 @@ from goldpan.model import OPTIONAL, REQUIRED, ROW, make_id, rows, validate
 from goldpan.operators.conflicts import pool_rows, resolve_pool, resolve_scored
 from goldpan.operators.lexicon import Lexicon
 from goldpan.operators.spans import ANNOTATIONS
+from goldpan.sources import store
 
 #: The file of each tier in the archive, and what the sources are called.
 POOL_FILES = {"50": "Sentences_50Agree.txt", "66": "Sentences_66Agree.txt", "75": "Sentences_75Agree.txt", "all": "Sentences_AllAgree.txt"}
@@ -113,7 +114,7 @@ def lexicon(path: str, name: str, source: str = "", evidence_grade: str = "repor
     """A word list: # comments, [positive] and [negative] sections, one word a line. Words are stemmed."""
     sections: dict[str, set[str]] = {"positive": set(), "negative": set()}
     current: set[str] | None = None
-    for raw in Path(path).read_text().splitlines():
+    for raw in store.text(path).splitlines():
         line = raw.strip()
         if line.startswith("[") and line.endswith("]"):
             current = sections.get(line[1:-1])
@@ -122,7 +123,6 @@ def lexicon(path: str, name: str, source: str = "", evidence_grade: str = "repor
     return Lexicon(name, frozenset(sections["positive"]), frozenset(sections["negative"]), source, evidence_grade)
 
 
-def run_lines(spark: SparkSession, path: str) -> DataFrame | None:
-    """A registry file as a DataFrame; None where there is no file."""
-    return spark.read.json(path) if Path(path).exists() else None
-
+def run_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A registry file as a DataFrame; without columns and rows where there is no file."""
+    return spark.read.json(path) if store.exists(path) else spark.createDataFrame([], StructType())

@@ -1,14 +1,13 @@
 """Writers of frozen files: sorted JSON lines and CSV, each with its hash, and a manifest.
 
 A frozen file is one file in one order, byte for byte the same whenever it is written. Lines are
-made on the executors; the driver appends them as they come in order, a partition at a time.
+made on the executors; the driver writes them as they come in order, a partition at a time, to the
+store that the path names, from where the readers read them back.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,14 +15,7 @@ from pyspark.sql import functions as F
 
 from goldpan.model import ROW
 from goldpan.operators.splits import check_invariants, stats_dict
-
-
-def file_hash(path: str | Path) -> str:
-    digest = hashlib.sha256()
-    with open(path, "rb") as f:
-        while block := f.read(1 << 20):
-            digest.update(block)
-    return f"sha256:{digest.hexdigest()}"
+from goldpan.sources import store
 
 
 def canonical(df: DataFrame) -> DataFrame:
@@ -38,39 +30,39 @@ def canonical(df: DataFrame) -> DataFrame:
     return df.mapInPandas(run, "key string, line string")
 
 
-def write_lines(df: DataFrame, path: str | Path, header: str | None = None) -> str:
+def write_lines(df: DataFrame, path, header: str | None = None) -> str:
     """Write (key, line) by key, then line; the file's hash."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    with path.open("w", encoding="utf-8", newline="\n") as f:
-        if header:
-            f.write(header + "\n")
+
+    def parts():
+        held, size = [header] if header else [], 0
         for r in df.orderBy("key", "line").select("line").toLocalIterator(prefetchPartitions=True):
-            f.write(r["line"] + "\n")
-    return file_hash(path)
+            held.append(r["line"])
+            size += len(r["line"])
+            if size >= store.CHUNK:
+                yield "".join(x + "\n" for x in held).encode()
+                held, size = [], 0
+        yield "".join(x + "\n" for x in held).encode()
+
+    return store.write(path, parts())
 
 
-def write_rows(df: DataFrame, path: str | Path) -> str:
+def write_rows(df: DataFrame, path) -> str:
     return write_lines(canonical(df), path)
 
 
-def freeze(rows: DataFrame, out_dir: str | Path) -> dict:
+#: The files of a frozen split, the columns of its assignments and what its manifest says of publishing.
+SPLITS = ("train", "dev", "test")
+ASSIGNED = ("example_id", "split", "agreement_tier", "dup_group")
+REDISTRIBUTION = {"text_published": False, "labels_published": False, "note": "Only ids and split assignments may be published: the text's licence is non-commercial."}
+
+
+def freeze(rows: DataFrame, out_dir) -> dict:
     """Check, then write train, dev, test, the assignments (no text, no labels) and the manifest."""
-    out = Path(out_dir)
     check_invariants(rows)
-    manifest: dict = {"stats": stats_dict(rows), "hashes": {}}
-    for name in ("train", "dev", "test"):
-        manifest["hashes"][name] = write_rows(rows.where(F.col("split") == name), out / f"{name}.jsonl")
-    columns = ("example_id", "split", "agreement_tier", "dup_group")
-    lines = rows.select(F.col("example_id").alias("key"), F.concat_ws(",", *columns).alias("line"))
-    manifest["hashes"]["split_assignments"] = write_lines(lines, out / "split_assignments.csv", ",".join(columns))
-    manifest["redistribution"] = {"text_published": False, "labels_published": False, "note": "Only ids and split assignments may be published: the text's licence is non-commercial."}
-    write_json(manifest, out / "manifest.json")
+    assigned = rows.select(F.col("example_id").alias("key"), F.concat_ws(",", *ASSIGNED).alias("line"))
+    files = [(name, f"{name}.jsonl", canonical(rows.where(F.col("split") == name)), None) for name in SPLITS]
+    files.append(("split_assignments", "split_assignments.csv", assigned, ",".join(ASSIGNED)))
+    hashes = {name: write_lines(lines, f"{out_dir}/{file}", header) for name, file, lines, header in files}
+    manifest = {"stats": stats_dict(rows), "hashes": hashes, "redistribution": REDISTRIBUTION}
+    store.write_json(manifest, f"{out_dir}/manifest.json")
     return manifest
-
-
-def write_json(value: dict, path: str | Path) -> Path:
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps(value, indent=2, sort_keys=True))
-    return path

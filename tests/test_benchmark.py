@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from goldpan import model
 from goldpan.model import LABELS
 from goldpan.operators import components, conflicts, metrics, near_dup, spans, splits, tfidf
-from goldpan.plans import harness, registry, settings
-from goldpan.sources import readers, writers
+from goldpan.plans import cli, harness, registry, settings
+from goldpan.sources import readers, store, writers
 
 
 def pool(spark, n=60, **given):
@@ -176,7 +176,7 @@ def test_invariants(spark):
     families = pool(spark).withColumn("family_id", F.lit("f")).withColumn("split", F.when(one, "train").otherwise("test"))
     with pytest.raises(AssertionError, match="families straddle"):
         splits.check_invariants(families)
-    with pytest.raises(AssertionError, match="non-human labels"):
+    with pytest.raises(AssertionError, match="no person gave"):
         splits.check_invariants(pool(spark, label_source="weak").withColumn("split", F.lit("dev")))
     twice = pool(spark, 1).withColumn("split", F.lit("train")).union(pool(spark, 1).withColumn("split", F.lit("dev")))
     with pytest.raises(AssertionError, match="example ids"):
@@ -192,7 +192,7 @@ def test_freeze_is_byte_identical(spark, tmp_path):
     lines = (tmp_path / "1" / "dev.jsonl").read_text().splitlines()
     want = sorted((r.asDict() for r in rows.where("split = 'dev'").collect()), key=lambda r: r["example_id"])
     assert lines == [json.dumps(r, sort_keys=True) for r in want]
-    assert one["stats"]["test"]["n"] == 12 and one["hashes"]["dev"] == writers.file_hash(tmp_path / "1" / "dev.jsonl")
+    assert one["stats"]["test"]["n"] == 12 and one["hashes"]["dev"] == store.file_hash(tmp_path / "1" / "dev.jsonl")
     assert sorted(map(tuple, readers.row_lines(spark, str(tmp_path / "1" / "dev.jsonl")).collect())) == sorted(map(tuple, rows.where("split = 'dev'").collect()))
     head, *rest = (tmp_path / "1" / "split_assignments.csv").read_text().splitlines()
     assert head == "example_id,split,agreement_tier,dup_group" and len(rest) == 60
@@ -437,7 +437,7 @@ def test_report(spark, frozen, tmp_path):
     assert report["n"] == 6 and report["split"] == "dev" and report["evidence_grade"] == "reported"
     assert sum(sum(r.values()) for r in report["confusion"].values()) == 6
     assert set(report["by_agreement_tier"]["cumulative"]) == {"50agree", "66agree", "75agree"}
-    assert json.loads(harness.write_report(report, tmp_path).read_text()) == json.loads(json.dumps(report))
+    assert json.loads(store.text(harness.write_report(report, tmp_path))) == json.loads(json.dumps(report))
     gold = readers.row_lines(spark, str(out / "dev.jsonl"))
     report = harness.score(spark, Always("neutral"), out / "dev.jsonl", comparators={"gold": gold.select("example_id", F.col("label").alias("pred"))}, bootstrap=50)
     assert report["vs"]["gold"]["delta"] < 0
@@ -445,32 +445,54 @@ def test_report(spark, frozen, tmp_path):
 
 def test_guards(spark, frozen, tmp_path):
     out, _ = frozen
-    with pytest.raises(AssertionError, match="hash mismatch"):
+    with pytest.raises(AssertionError, match="has changed"):
         harness.score(spark, Always("neutral"), out / "dev.jsonl", "sha256:0")
     with pytest.raises(AssertionError, match="every row needs one"):
         harness.score(spark, Always("neutral", short=True), out / "dev.jsonl")
     writers.write_rows(pool(spark, 3, label_source="weak"), tmp_path / "weak.jsonl")
-    with pytest.raises(AssertionError, match="non-human labels"):
+    with pytest.raises(AssertionError, match="no person gave"):
         harness.score(spark, Always("neutral"), tmp_path / "weak.jsonl", "sha256:0")
     (tmp_path / "none.jsonl").write_text("\n")
-    with pytest.raises(ValueError, match="nothing to score"):
+    with pytest.raises(ValueError, match="no rows to score"):
         harness.score(spark, Always("neutral"), tmp_path / "none.jsonl")
 
 
-def test_registry(tmp_path):
-    path = tmp_path / "r" / "runs.jsonl"
-    assert registry.read(path) == []
+def test_registry(spark, tmp_path):
+    path = f"{tmp_path}/r/runs.jsonl"
+    assert registry.runs(path) == [] and readers.run_lines(spark, path).columns == []
     for grade in ("supported", "reported"):
-        run = registry.start("baseline", "a floor", {"seed": 1}, seed=1)
-        run.evidence_grade = grade
-        registry.append(run, path)
-    assert [r["evidence_grade"] for r in registry.read(path)] == ["supported", "reported"]
-    assert run.run_id.split("-")[1] == settings.config_hash({"seed": 1})[7:13] and run.finished_at
-    with pytest.raises(ValueError, match="hypothesis"):
-        registry.append(registry.start("x", " ", {}), path)
-    run.evidence_grade = "sure"
-    with pytest.raises(ValueError, match="grade"):
-        registry.append(run, path)
+        run = registry.add(path, registry.begin("baseline", "a floor", {"seed": 1}, seed=1, evidence_grade=grade))
+    assert [r["evidence_grade"] for r in registry.runs(path)] == ["supported", "reported"]
+    assert readers.run_lines(spark, path).count() == 2
+    assert run["run_id"].split("-")[1] == settings.config_hash({"seed": 1})[7:13] and run["finished_at"] >= run["started_at"]
+    for wrong, match in (({"hypothesis": " "}, "hypothesis"), ({"evidence_grade": "sure"}, "grade"), ({"colour": 1}, "unknown")):
+        with pytest.raises(ValueError, match=match):
+            registry.add(path, run | wrong)
+    assert len(registry.runs(path)) == 2
+
+
+def test_commands(spark, tmp_path, capsys):
+    """build-data, baselines, aspect-audit and registry over small files."""
+    rng, names = random.Random(3), readers.POOL_FILES
+    (tmp_path / "pool").mkdir()
+    words = {"positive": "profit rose", "negative": "profit fell", "neutral": "the board met"}
+    lines = [f"{words[y]} {rng.randrange(10**6)} in {rng.randrange(10**6)} at {rng.randrange(10**6)}@{y}" for y in rng.choices(sorted(words), k=120)]
+    for k, name in enumerate(names.values()):
+        (tmp_path / "pool" / name).write_text("\n".join(lines[k * 20 :]), encoding="latin-1")
+    (tmp_path / "fiqa.csv").write_text("sentence,sentiment_score\nup,0.5\ndown,-0.5\ndown,0.6\n")
+    (tmp_path / "henry.txt").write_text("# list\n[positive]\nrose\n[negative]\nfell\n")
+    span = lambda c: {"content": c, "annotations": [{"value": "Ab", "label": "Positive", "start": 0, "end": 2}, {"value": "Cd", "label": "Negative", "start": 3, "end": 5}]}
+    (tmp_path / "spans.json").write_text(json.dumps([span("Ab Cd"), span("Ab Cd ef")]))
+    changes = [f"data.primary_path={tmp_path}/pool", f"data.secondary_paths={tmp_path}/fiqa.csv", f"data.out_dir={tmp_path}/out/pool", "data.n_test=20", "data.n_dev=10", f"lexicons.reported_path={tmp_path}/henry.txt"]
+    changes += [f"runs.registry={tmp_path}/runs.jsonl", f"runs.reports={tmp_path}/reports", "eval.bootstrap=50", f"data.spans_path={tmp_path}/spans.json"]
+    call = lambda name, *more: cli.main([name, *(x for c in [*changes, *more] for x in ("--set", c))])
+    assert call("registry") == 0 and "no run" in capsys.readouterr().out
+    assert call("build-data") == 0
+    assert (tmp_path / "out" / "scored" / "conflicted.jsonl").read_text().count("\n") == 1
+    assert call("baselines") == 0
+    assert {r["notes"] for r in registry.runs(f"{tmp_path}/runs.jsonl")} >= {"system=lexicon-henry"} and len(registry.runs(f"{tmp_path}/runs.jsonl")) == 3
+    assert call("registry") == 0 and "baseline" in capsys.readouterr().out
+    assert call("aspect-audit") == 1 and call("aspect-audit", "gate.least_multi_label=2") == 0
 
 
 def test_settings():
