@@ -114,10 +114,13 @@ def test_few_or_no_vectors(spark):
     assert topk.top_k(frame(spark, rows), F.col("vec_id") % 50 == 0, 10).count() == 4
 
 
-@pytest.mark.parametrize("block", [16, 4096])
-def test_top_k_is_exact(spark, block):
+@pytest.mark.parametrize("small", [False, True])
+def test_top_k_is_exact(spark, small, monkeypatch):
+    if small:  # several blocks of queries and looks at the bounds
+        for name, n in (("QUERIES", 8), ("ROWS", 16), ("FIRST", 3), ("STEP", 4), ("SAMPLE", 30)):
+            monkeypatch.setattr(topk, name, n)
     rows = made()
-    found = topk.top_k(frame(spark, rows), F.col("vec_id") % 20 == 0, 10, block=block).collect()
+    found = topk.top_k(frame(spark, rows), F.col("vec_id") % 20 == 0, 10, n_pivots=16 if small else topk.PIVOTS).collect()
     got = {}
     for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
@@ -129,11 +132,18 @@ def test_bounds_hold_and_stop_early():
     centres = rng.integers(-3000, 3000, (12, 3))
     x = centres[rng.integers(0, 12, 3000)] + rng.integers(-5, 5, (3000, 3))
     q = x[:20]
-    pivots = centres
-    bound = topk.upper_bounds(q, topk.distances(q, pivots), x, topk.distances(x, pivots))
-    assert (bound >= q @ x.T).all()
-    *_, scored = topk.top_in_block(np.arange(20), q, np.arange(3000), x, pivots, 5)
-    assert scored < 0.5 * 20 * 3000  # in clusters the pivots settle most
+    pivots = topk.Pivots(x[:500], 12)
+    bound = topk.upper_bounds(q, pivots.table(q), x, pivots.table(x), pivots.width)
+    true = q @ x.T
+    assert (bound >= true).all()
+    ids, none = np.arange(3000), np.full(20, np.iinfo(np.int64).min)
+    *found, first = topk.top_in_batch(ids[:20], q, ids, x, bound, none, 5, 32)
+    kth = np.array([np.sort(found[2][found[0] == i])[-5] for i in range(20)])
+    *found, scored = topk.top_in_batch(ids[:20], q, ids, x, bound, kth, 5)
+    true[np.arange(20), np.arange(20)] = np.iinfo(np.int64).min
+    for i in range(20):
+        assert sorted(found[2][found[0] == i])[-5:] == sorted(true[i])[-5:]
+    assert first <= 20 * 32 and scored < 0.3 * 20 * 3000  # in clusters the pivots settle most
 
 
 def test_scores_beyond_doubles_are_exact_or_an_error():
