@@ -1,22 +1,23 @@
 r"""Approximate nearest neighbours by cross-polytope hashing.
 
 A unit vector is padded to a power of two and goes through three rounds of random signs and a fast
-Hadamard transform, a pseudo-rotation. Its hash is the nearest signed axis: twice the position of
-the largest component, plus 1 if that is negative. A table has one such hash, or the pair of two
-(``hashes``) from ``WIDE`` rows on, where single axes would leave very full buckets. Every row is
-indexed in all tables. A query probes in every table the buckets of largest value, that is, the
-axes it is nearest to (for pairs, the largest sums). What lies in a probed bucket is a candidate,
-and all candidates are reranked by their exact cosine in double precision.
+Hadamard transform, a pseudo-rotation. Its nearest signed axis is twice the position of the
+largest component, plus 1 if that is negative; a table's hash is the pair of two such axes. Every row
+is indexed in all ``TABLES`` tables. A query probes in every table the buckets of largest value, that
+is, the pairs of axes it is nearest to. What lies in a probed bucket is a candidate, and all
+candidates are reranked by their exact cosine in double precision.
 
 How many buckets are probed is fitted on a sample of at most ``SAMPLE`` rows, those with the least
 hashes of their ids: the fewest with which the sample's own neighbours are found ``AIM`` of the
 times. Neighbours in a sample are farther than in the whole table and so harder to find; recall on
 the whole is higher. At least about 64 candidates are expected of each query. A query that finds
-fewer than k goes through the buckets of one table altogether, which are all rows.
+fewer than k is asked again with all buckets probed.
 
-Plan: rows and probes meet by (table, bucket). A bucket with more than ``BLOCK`` rows or probes, as
-copies make, is dealt in blocks of rows by blocks of probes. A group returns k rows for each query;
-a group's equal vectors are compared once, as only their k + 1 smallest ids can be returned.
+Plan: the index, each row's hashes beside its vector, is computed once, written and read where it
+lies: rows are neither copied nor shuffled, so no bucket is hot, whatever repeats. Queries are dealt in
+blocks of about ``QUERIES`` by a hash; a block is broadcast with its probes as a bit for every query in
+every bucket, and a row's candidates are the OR of its buckets' words. A task keeps k rows for each
+query, by running k-th score, and a window merges the tasks'.
 
 Edges: vectors that are null, empty or zero, or hold a null or a non-finite component, take no part,
 and neither do rows without an id. Vectors of fewer components end in zeros. Rows with the same
@@ -32,13 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from goldpan.llm.vectors import best_rows, finite, matrix, width
+from goldpan.llm.vectors import finite, kept, matrix, width
 from goldpan.scratch import Scratch
 
-SAMPLE, SAMPLE_QUERIES, AIM = 4096, 256, 0.97
-BLOCK = 16384
-#: From so many rows on a table hashes with pairs of axes.
-WIDE = 1 << 22
+SAMPLE, SAMPLE_QUERIES, AIM = 4096, 256, 0.94
+TABLES = 48
+QUERIES, ROWS = 512, 2048
 #: Scores closer than this are told apart by sums in a fixed order.
 SLACK = 1e-9
 
@@ -46,7 +46,7 @@ SLACK = 1e-9
 class Hashes:
     """The pseudo-rotations of all tables: ``tables`` x ``hashes`` of three rounds each."""
 
-    def __init__(self, dim: int, tables: int = 6, hashes: int = 1, seed: int = 7):
+    def __init__(self, dim: int, tables: int = TABLES, hashes: int = 2, seed: int = 7):
         self.size = 1 << max(1, (dim - 1).bit_length())
         self.tables, self.hashes = tables, hashes
         signs = np.random.default_rng(seed).integers(0, 2, (tables, hashes, 3, self.size))
@@ -114,87 +114,107 @@ def fit_probes(h: Hashes, x: np.ndarray, k: int, aim: float = AIM) -> int:
     return int(np.sort(rank, axis=None)[min(rank.size - 1, int(np.ceil(aim * rank.size)))])
 
 
-def nearest_in_group(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, step: int = 256):
-    """(query_id, vec_id, cosine): of each query the k nearest other ids with their best cosine, exact copies by id."""
-    order = np.lexsort((ids, *x.T[::-1]))
-    ids, x = ids[order], x[order]
-    new = np.r_[True, (x[1:] != x[:-1]).any(axis=1)]
-    other = new | np.r_[True, ids[1:] != ids[:-1]]  # a row that repeats takes no place
-    ids, x, new = ids[other], x[other], new[other]
-    starts = np.flatnonzero(new)
-    rank = np.arange(len(ids)) - starts[np.cumsum(new) - 1]
-    ids, x = ids[rank <= k], x[rank <= k]
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    ux, uq = unit_rows(x), unit_rows(q)
-    out = []
-    for low in range(0, len(q), step):
-        part = uq[low : low + step]
-        scores = part @ ux.T
-        scores[q_ids[low : low + step, None] == ids] = -np.inf
-        by_id = np.maximum.reduceat(scores, starts, axis=1) if len(starts) < len(ids) else scores
-        kth = np.partition(by_id, -k, axis=1)[:, -k] if len(starts) > k else np.full(len(part), -np.inf)
-        row, col = np.nonzero((scores >= kth[:, None] - SLACK) & (scores > -np.inf))
-        exact = (part[row] * ux[col]).sum(axis=1)  # one order of adding for all, so copies tie
-        first = np.searchsorted(row, np.arange(len(part) + 1))
-        for i in range(len(part)):
-            own = slice(first[i], first[i + 1])
-            s, v = exact[own], ids[col[own]]
-            by = np.lexsort((-s, v))
-            s, v = s[by], v[by]
-            one = np.flatnonzero(np.r_[True, v[1:] != v[:-1]][: len(v)])
-            s, v = s[one], v[one]
-            best = best_rows(s, v, k)
-            out.append((np.full(len(best), q_ids[low + i]), v[best], s[best]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return tuple(np.concatenate(c) for c in zip(*out))
-
-
-def search(rows: DataFrame, queries: DataFrame, h: Hashes, dim: int, probes: int, k: int, block: int = BLOCK) -> DataFrame:
-    """rows, queries: id and v. (query_id, vec_id, score) with k rows at most from every group, unmerged."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(h)  # its size depends on the dimension alone
-
-    def dealt(is_query: bool):
-        def run(batches):
-            hashes = shared.value
+def bit_table(probed: np.ndarray, buckets: int) -> np.ndarray:
+    """probed: (query, table, probe). (table, bucket, word): a bit for every query that probes the bucket."""
+    n, tables, _ = probed.shape
+    out = np.zeros((tables, buckets, -(-n // 64)), np.uint64)
+    query = np.arange(n)
+    bit = np.uint64(1) << (query % 64).astype(np.uint64)
+    for t in range(tables):
+        np.bitwise_or.at(out[t], (probed[:, t], (query // 64)[:, None]), bit[:, None])
+    return out
+
+
+class Nearest:
+    """The k best rows so far of each query of a block."""
+
+    def __init__(self, ids: np.ndarray, unit: np.ndarray, bits: np.ndarray | None, k: int):
+        self.ids, self.unit, self.bits, self.k = ids, unit, bits, k
+        self.best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
+        self.scored = 0
+
+    def candidates(self, codes: np.ndarray) -> np.ndarray:
+        """(query, row) as booleans. Without bits every row is one."""
+        if self.bits is None:
+            return np.ones((len(self.ids), len(codes)), bool)
+        found = self.bits[0][codes[:, 0]]
+        for t in range(1, codes.shape[1]):
+            found |= self.bits[t][codes[:, t]]
+        return np.unpackbits(found.view(np.uint8), axis=1, bitorder="little")[:, : len(self.ids)].astype(bool).T
+
+    def add(self, ids: np.ndarray, unit: np.ndarray, codes: np.ndarray) -> None:
+        for i, near in enumerate(self.candidates(codes)):
+            s, v = self.best[i]
+            at = np.flatnonzero(near & (ids != self.ids[i]))
+            self.scored += len(at)
+            least = s[-1] if len(s) == self.k else -np.inf
+            at = at[unit[at] @ self.unit[i] >= least - SLACK]
+            if len(at):
+                exact = (unit[at] * self.unit[i]).sum(axis=1)  # one order of adding for all, so copies tie
+                self.best[i] = kept(np.concatenate([s, exact]), np.concatenate([v, ids[at]]), self.k)
+
+    def rows(self) -> pa.RecordBatch:
+        found = [np.concatenate(c) if c else np.zeros(0) for c in zip(*[(np.full(len(s), q), v, s) for q, (s, v) in zip(self.ids, self.best)])] or [np.zeros(0)] * 3
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(found, kinds)], names=["query_id", "vec_id", "score"])
+
+
+def indexed(vectors: DataFrame, h: Hashes, dim: int) -> DataFrame:
+    """vectors: id, v, q. The same with codes, the bucket in every table as 32-bit numbers."""
+    shared = vectors.sparkSession.sparkContext.broadcast(h)  # its size depends on the dimension alone
+
+    def run(batches):
+        hashes = shared.value
+        for batch in batches:
+            for low in range(0, batch.num_rows, ROWS):
+                part = batch.slice(low, ROWS)
+                unit = unit_rows(matrix(part.column(1), dim))
+                codes = np.stack([hashes.bucket(unit, t) for t in range(hashes.tables)], axis=1).astype("<u4")
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "v", "q", "codes"])
+
+    return vectors.mapInArrow(run, f"id long, v {vectors.schema['v'].dataType.simpleString()}, q boolean, codes binary")
+
+
+def search(index: DataFrame, queries: DataFrame, h: Hashes, dim: int, probes: int | None, k: int, scratch: Scratch) -> DataFrame:
+    """(query_id, vec_id, score) with k rows at most of every task and query, unmerged. No probes: all buckets."""
+    spark = index.sparkSession
+    blocks = max(1, -(-queries.count() // QUERIES))
+    dealt = queries.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).alias("block"))
+
+    def ask(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, 64):
+                part = batch.slice(low, 64)
+                unit = unit_rows(matrix(part.column(1), dim))
+                found = np.stack([h.probes(unit, t, probes) for t in range(h.tables)], axis=1).astype("<u4")
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "v", "block", "probed"])
+
+    if probes is None:
+        dealt = dealt.withColumn("probed", F.lit(b""))
+    else:
+        dealt = dealt.mapInArrow(ask, f"id long, v {queries.schema['v'].dataType.simpleString()}, block long, probed binary")
+    dealt = scratch.table(dealt, "queries")
+    found = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    for b in range(blocks):
+        block = dealt.where(F.col("block") == b).toArrow()
+        if not block.num_rows:
+            continue
+        ids, unit = block.column("id").to_numpy(), unit_rows(matrix(block.column("v"), dim))
+        probed = None if probes is None else np.stack([np.frombuffer(x.as_py(), "<u4") for x in block.column("probed")]).reshape(len(ids), h.tables, -1)
+        shared = spark.sparkContext.broadcast((ids, unit, probed, h.buckets))  # about QUERIES rows
+
+        def run(batches, shared=shared):
+            ids, unit, probed, buckets = shared.value
+            near = Nearest(ids, unit, None if probed is None else bit_table(probed, buckets), k)
             for batch in batches:
-                for low in range(0, batch.num_rows, 2048):
-                    part = batch.slice(low, 2048)
-                    unit = unit_rows(matrix(part.column(1), dim)) if part.num_rows else np.zeros((0, dim))
-                    for t in range(hashes.tables if len(unit) else 0):
-                        b = hashes.probes(unit, t, probes) if is_query else hashes.bucket(unit, t)[:, None]
-                        at = pa.array(np.repeat(np.arange(len(unit)), b.shape[1]))
-                        same = [pa.array(np.full(b.size, t, np.int32)), pa.array(b.reshape(-1).astype(np.int64))]
-                        yield pa.RecordBatch.from_arrays([*same, part.column(0).take(at), part.column(1).take(at)], names=["t", "b", "id", "v"])
-
-        return run
-
-    kind = rows.schema["v"].dataType.simpleString()
-    schema = f"t int, b long, id long, v {kind}"
-    data, asked = rows.mapInArrow(dealt(False), schema), queries.mapInArrow(dealt(True), schema)
-    # Sizes of buckets that are over a block: at most (rows + probes) / block of them.
-    slim = rows.mapInArrow(dealt(False), schema).select("t", "b", F.lit(0).alias("q")).unionByName(queries.mapInArrow(dealt(True), schema).select("t", "b", F.lit(1).alias("q")))
-    sizes = slim.groupBy("t", "b").agg(F.sum(1 - F.col("q")).alias("n"), F.sum("q").alias("m")).where("n > 0 and m > 0")
-    sizes = sizes.select("t", "b", F.ceil(F.col("n") / block).cast("int").alias("cn"), F.ceil(F.col("m") / block).cast("int").alias("cm"))
-
-    def blocks(side: DataFrame, own: str, other: str, mine: str, others: str) -> DataFrame:
-        # A bucket that only one side has joins nothing.
-        side = side.join(sizes, ["t", "b"]).withColumn(mine, F.pmod(F.xxhash64("id", "v"), F.col(own)).cast("int"))
-        return side.select("t", "b", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(others), "id", "v")
-
-    both = blocks(data, "cn", "cm", "x", "y").withColumn("q", F.lit(False)).unionByName(blocks(asked, "cm", "cn", "y", "x").withColumn("q", F.lit(True)))
-
-    def group(table: pa.Table) -> pa.Table:
-        is_query = table.column("q").to_numpy(zero_copy_only=False).astype(bool)
-        ids = table.column("id").to_numpy()
-        x = matrix(table.column("v"), dim)
-        found = nearest_in_group(ids[is_query], x[is_query], ids[~is_query], x[~is_query], k) if is_query.any() and not is_query.all() else ([], [], [])
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
-
-    return both.groupBy("t", "b", "x", "y").applyInArrow(group, "query_id long, vec_id long, score double")
+                for low in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(low, ROWS)
+                    codes = np.stack([np.frombuffer(c.as_py(), "<u4") for c in part.column(2)])
+                    near.add(part.column(0).to_numpy(), unit_rows(matrix(part.column(1), dim)), codes)
+            yield near.rows()
+
+        found = found.unionByName(index.select("id", "v", "codes").mapInArrow(run, "query_id long, vec_id long, score double"))
+    return found
 
 
 def merged(found: DataFrame, k: int) -> DataFrame:
@@ -204,28 +224,26 @@ def merged(found: DataFrame, k: int) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def neighbours(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 6, hashes: int | None = None, probes: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding", scratch: Scratch | None = None) -> DataFrame:
+def neighbours(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = TABLES, probes: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding", scratch: Scratch | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for every row that is_query tells."""
     scratch = scratch or Scratch(vectors.sparkSession, "ann")
     v = F.col(vec_col)
     valid = vectors.where(F.col(id_col).isNotNull() & finite(v) & F.exists(v, lambda x: x != 0))
     valid = scratch.table(valid.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")), "vectors")
     n, dim = valid.count(), width(valid, "v")
-    h = Hashes(max(dim, 1), tables, hashes or (1 if n < WIDE else 2))
+    h = Hashes(max(dim, 1), tables)
     if probes is None:
-        drawn = F.xxhash64("id")
-        last = valid.select(drawn.alias("k")).orderBy("k").limit(SAMPLE).agg(F.max("k")).first()[0]
-        sample = valid.where(drawn <= F.lit(last)).select("v").limit(SAMPLE).toArrow()
+        sample = valid.orderBy(F.xxhash64("id"), "id", "v").select("v").limit(SAMPLE).toArrow()
         probes = fit_probes(h, matrix(sample.column("v"), dim) if n else np.zeros((0, 1)), k)
-        probes = min(h.buckets, max(probes, -(-64 * h.buckets // max(1, n))))
-    rows, queries = valid.select("id", "v"), valid.where("q").select("id", "v")
-    found = scratch.table(merged(search(rows, queries, h, dim, probes, k), k), "found")
+        probes = min(h.buckets, max(probes, -(-64 * h.buckets // (max(1, n) * tables))))
+    index = scratch.table(indexed(valid, h, dim), "index")
+    queries = index.where("q").dropDuplicates(["id", "v"])
+    found = scratch.table(merged(search(index, queries, h, dim, probes, k, scratch), k), "found")
     full = found.groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= k)
     short = scratch.table(queries.join(full, queries["id"] == full["query_id"], "left_anti"), "short")
     if not short.limit(1).count():
         return found
-    one = Hashes(max(dim, 1), 1, 1)
-    rest = merged(search(rows, short, one, dim, one.buckets, k), k)
+    rest = merged(search(index, short, h, dim, None, k, scratch), k)
     return found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(rest)
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldpan.llm.ann import merged
-from goldpan.llm.vectors import best_rows, finite, matrix, width
+from goldpan.llm.vectors import finite, kept, matrix, width
 from goldpan.scratch import Scratch
 
 PIVOTS, SAMPLE = 512, 4096
@@ -94,15 +94,6 @@ def upper_bounds(q: np.ndarray, dq: np.ndarray, x: np.ndarray, dx: np.ndarray, s
     return (nq[:, None] + nx - lower * lower) / 2 + 1e-9 * (nq[:, None] + nx) + 1e-6
 
 
-def kept(s: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best scores with their ids; an id counts once, with its best score."""
-    by = np.lexsort((-s, v))
-    s, v = s[by], v[by]
-    one = np.flatnonzero(np.r_[True, v[1:] != v[:-1]][: len(v)])
-    best = one[best_rows(s[one], v[one], k)]
-    return s[best], v[best]
-
-
 def top_in_batch(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, bound: np.ndarray, kth: np.ndarray, k: int, first: int | None = None):
     """(query_id, vec_id, score, scored): of each query the k best rows with another id whose score reaches kth,
     found in the order of its own bounds; how many pairs were scored. first: look at so many rows alone."""

@@ -89,20 +89,33 @@ def test_repeated_ids_take_one_place(spark, probes):
     assert got == want if probes else sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
 
 
-def test_a_group_gives_k_distinct_ids():
+def test_a_task_keeps_k_distinct_ids():
     x = np.array([[1.0, 0.1]] * 8 + [[1.0, 0.2], [1.0, 0.3], [1.0, 0.11], [1.0, 0.12]])
     ids = np.array([3] * 8 + [4, 5, 3, 3])
-    _, found, cosine = ann.nearest_in_group(np.array([1]), np.array([[1.0, 0.0]]), ids, x, 3)
+    near = ann.Nearest(np.array([1]), np.array([[1.0, 0.0]]), None, 3)
+    for low in range(0, 12, 5):
+        near.add(ids[low : low + 5], ann.unit_rows(x[low : low + 5]), np.zeros((len(x[low : low + 5]), 1), int))
+    cosine, found = near.best[0]
     assert found.tolist() == [3, 4, 5] and abs(cosine[0] - 1 / np.hypot(1, 0.1)) < 1e-12
 
 
-def test_pairs_of_axes_and_full_buckets(spark):
+def test_candidates_are_the_probed_buckets():
+    h, rng = ann.Hashes(24, 4), np.random.default_rng(1)
+    unit, x = ann.unit_rows(rng.standard_normal((70, 24))), ann.unit_rows(rng.standard_normal((500, 24)))
+    probed = np.stack([h.probes(unit, t, 40) for t in range(4)], axis=1)
+    codes = np.stack([h.bucket(x, t) for t in range(4)], axis=1)
+    found = ann.Nearest(np.arange(70), unit, ann.bit_table(probed, h.buckets), 5).candidates(codes)
+    want = (probed[:, None, :, :] == codes[None, :, :, None]).any(axis=(2, 3))
+    assert (found == want).all() and 0 < want.mean() < 0.5
+
+
+def test_blocks_of_queries(spark, monkeypatch):
     rows = made()
-    v = frame(spark, rows).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).where("id < 400")
-    h = ann.Hashes(24, 4, 2)
-    whole = ann.merged(ann.search(v, v.where("id % 50 = 0"), h, 24, 600, 5), 5).collect()
-    small = ann.merged(ann.search(v, v.where("id % 50 = 0"), h, 24, 600, 5, block=3), 5).collect()
-    assert sorted(map(tuple, whole)) == sorted(map(tuple, small)) and len(whole) == 40
+    whole = ann.neighbours(frame(spark, rows), F.col("vec_id") % 10 == 0, probes=30).collect()
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    monkeypatch.setattr(ann, "ROWS", 50)
+    small = ann.neighbours(frame(spark, rows), F.col("vec_id") % 10 == 0, probes=30).collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, small)) and whole
 
 
 def test_few_or_no_vectors(spark):
