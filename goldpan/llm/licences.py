@@ -10,8 +10,8 @@ the bar or above, confirmed, and nearer to its family's templates than to any ot
 
 Training, in numpy: sentences of the templates, whole, in runs of two or three and in windows as
 wrapped lines have them, with words dropped or replaced; against them sentences of like words,
-the training words in random order, and up to ``sample`` lines of the corpus, those with the least hashes (a documented bound; a line that
-a template covers is left out). A fifth is held out to calibrate: a temperature by likelihood, then
+the training words in random order, and up to ``sample`` lines of the corpus, those with the least hashes, of longer ones a run of
+``span`` words (documented bounds of the training rows alone; a line that a template covers is left out). A fifth is held out to calibrate: a temperature by likelihood, then
 the least probability ``bar`` at which 98 % of the held-out paragraphs that pass are right. What
 is below the bar, or isn't confirmed, is reported as ``unknown``.
 
@@ -193,7 +193,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def examples(lines: list[str], seed: int = 11, copies: int = 24) -> tuple[list[list[str]], list[int]]:
     """Training paragraphs as words, and their classes. lines: of the corpus, all ``none``."""
     rng = np.random.default_rng(seed)
-    filler = [w for line in lines[:200] for w in words_of(line)] or words_of(" ".join(OTHERS))
+    filler = [w for line in lines for w in words_of(line)] or words_of(" ".join(OTHERS))
 
     def varied(words: list[str]) -> list[str]:
         out = [w for w in words if rng.random() > 0.06] or words
@@ -225,7 +225,7 @@ def examples(lines: list[str], seed: int = 11, copies: int = 24) -> tuple[list[l
     for line in lines:
         words = words_of(line)
         if words and templates.overlap(words, "all") < 0.5:
-            texts.append(words[:400])
+            texts.append(words)
             y.append(len(CLASSES) - 1)
     return texts, y
 
@@ -294,14 +294,16 @@ def scan_texts(texts: list[str | None], model: Classifier, templates: Templates)
 FOUND = "start long, length long, licence string, family string, probability double, overlap double, confirmed boolean"
 
 
-def scan(docs: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, sample: int = 2000, span: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each family of each paragraph found: doc_id, start, length, licence, family, probability, overlap, confirmed."""
     spark = docs.sparkSession
-    # One line of each of the sampled texts, up to 2000 characters; which ones, only hashes tell.
+    # One line of each of the sampled texts, or a run of ``span`` words of it; which ones, only hashes tell.
     heads = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("k"), F.col(text_col).alias("t"))
     last = heads.select("k").distinct().orderBy("k").limit(sample).agg(F.max("k")).first()[0]
-    pick = F.split("t", "\n")
-    heads = heads.where(F.col("k") <= F.lit(last)).select("k", F.substring(F.element_at(pick, (F.pmod("k", F.size(pick)) + 1).cast("int")), 1, 2000).alias("line"))
+    pick, words = F.split("t", "\n"), F.split("line", " ")
+    heads = heads.where(F.col("k") <= F.lit(last)).select("k", F.element_at(pick, (F.pmod("k", F.size(pick)) + 1).cast("int")).alias("line"))
+    begin = F.pmod(F.xxhash64("k"), F.greatest(F.size(words) - span, F.lit(0)) + 1).cast("int") + 1
+    heads = heads.select("k", F.array_join(F.slice(words, begin, F.lit(span)), " ").alias("line"))
     lines = [r["line"] for r in heads.groupBy("k").agg(F.min("line").alias("line")).orderBy("k").collect()]
     shared = spark.sparkContext.broadcast((train(lines), Templates({**TEMPLATES, UNKNOWN: SHARED})))  # the templates set its size
     kind = docs.schema[id_col].dataType.simpleString()
