@@ -143,14 +143,16 @@ class Network:
 
     def log_p(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log p(target | context). Targets are sorted."""
-        h, m = self.layer(context), self.members
-        own = np.einsum("ij,ij->i", h, self.top[target // m] + self.low[target])
-        total = np.empty(len(h), np.float32)
+        h, m, n = self.layer(context), self.members, len(target)
+        own, total, at = np.empty(n, np.float32), np.empty(n, np.float32), np.arange(n)
+        ones, group, member = np.ones(max(m, self.classes), np.float32), target // m, target % m
         for c, a, b in self.blocks(target):
             z = h[a:b] @ self.low[c * m : (c + 1) * m].T
-            np.exp(z, out=z).sum(axis=1, out=total[a:b])
+            own[a:b] = z.ravel().take(at[: b - a] * m + member[a:b])
+            np.matmul(np.exp(z, out=z), ones[:m], out=total[a:b])
         z = h @ self.top.T
-        return own - np.log(total) - np.log(np.exp(z, out=z).sum(axis=1))
+        own += z.ravel().take(at * self.classes + group)
+        return own - np.log(total) - np.log(np.exp(z, out=z) @ ones[: self.classes])
 
     def _expected(self, h: np.ndarray, w: np.ndarray, scale: np.float32, back: np.ndarray) -> np.ndarray:
         """What all outputs w add to the gradients, of h in ``back`` and of w."""
@@ -164,25 +166,26 @@ class Network:
         return z.T @ (h * s)
 
     def gradient(self, context: np.ndarray, target: np.ndarray):
-        """Of the mean loss: (rows, values) of each table, and of both output layers. Targets are sorted."""
+        """Of the mean loss: of the tables and of both output layers. Targets are sorted."""
         scale, h, m = np.float32(1 / len(target)), self.layer(context), self.members
         back = np.zeros_like(h)
-        first = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
-        sums, slots = np.add.reduceat(h, first, axis=0) * scale, target[first]
         top, low = self._expected(h, self.top, scale, back), np.zeros_like(self.low)
-        np.subtract.at(top, slots // m, sums)
         for c, a, b in self.blocks(target):
             low[c * m : (c + 1) * m] = self._expected(h[a:b], self.low[c * m : (c + 1) * m], scale, back[a:b])
-        low[slots] -= sums
-        back -= scale * (self.top[target // m] + self.low[target])
-        back = back[:, :-1] * (1 - h[:, :-1] ** 2)
-        tables = []
-        for k in range(len(SIDES)):
-            order = np.argsort(context[k], kind="stable")
-            row = context[k][order]
-            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            tables.append((row[first], np.add.reduceat(back.take(order, axis=0), first, axis=0)))
-        return tables, top, low
+        met = summed_by(target, h * scale, len(low))
+        low -= met
+        top -= met.reshape(self.classes, m, -1).sum(axis=1)
+        back -= scale * (self.top.take(target // m, axis=0) + self.low.take(target, axis=0))
+        h = h[:, :-1]
+        back = (back[:, :-1] * (1 - h * h)).astype(np.float64)
+        return np.stack([summed_by(side, back, self.edge + 1) for side in context]), top, low
+
+
+def summed_by(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the values' rows that go to each of n rows."""
+    width = values.shape[1]
+    cells = rows.astype(np.int64)[:, None] * width + np.arange(width)
+    return np.bincount(cells.ravel(), values.ravel(), n * width).reshape(n, width).astype(np.float32)
 
 
 class Adagrad:
@@ -194,13 +197,12 @@ class Adagrad:
         """Targets are sorted."""
         net, squares, rate = self.net, self.squares, self.rate
         tables, top, low = net.gradient(context, target)
-        for k, (rows, g) in enumerate(tables):
-            s = squares.tables[k][rows] + g * g
-            squares.tables[k][rows] = s
-            net.tables[k][rows] -= rate * g / np.sqrt(s)
-        for w, s, g in ((net.top, squares.top, top), (net.low, squares.low, low)):
+        for w, s, g in ((net.tables, squares.tables, tables), (net.top, squares.top, top), (net.low, squares.low, low)):
             s += g * g
-            w -= rate * g / np.sqrt(s)
+            g *= rate
+            g /= np.sqrt(s)
+            w -= g
+        for w in (net.top, net.low):
             np.clip(w[:, :-1], -net.LIMIT, net.LIMIT, out=w[:, :-1])
             np.clip(w[:, -1], -4 * net.LIMIT, net.LIMIT, out=w[:, -1])
 
@@ -331,8 +333,8 @@ def train_encoded(texts: DataFrame, vocabulary: Vocabulary, scratch: Scratch, hi
                 last = len(order) - len(order) % size
                 for k in range(0, last, size):
                     at = order[k : k + size]
-                    at = at[np.argsort(target[at], kind="stable")]
-                    descent.step(context[:, at], target[at])
+                    at = at[np.argsort(target.take(at), kind="stable")]
+                    descent.step(context.take(at, axis=1), target.take(at))
                     seen += size
                 rest = order[last:]
                 held_context, held_target, waiting = [context[:, rest]], [target[rest]], len(rest)
@@ -362,7 +364,7 @@ def train_encoded(texts: DataFrame, vocabulary: Vocabulary, scratch: Scratch, hi
     return network
 
 
-def log_probabilities(held: list[np.ndarray], vocabulary: Vocabulary, network: Network, step: int = 8192) -> np.ndarray:
+def log_probabilities(held: list[np.ndarray], vocabulary: Vocabulary, network: Network, step: int = 1 << 14) -> np.ndarray:
     """log p of every token of some encoded documents, one after another."""
     row, place = windows([vocabulary.slot[ids] for ids in held], network.edge)
     out = vocabulary.within[np.concatenate(held)] if held else np.zeros(0)
