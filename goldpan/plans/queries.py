@@ -449,9 +449,24 @@ def tfidf_top_terms(spark, sf):
 @query(f"""WITH {CORPUS}, {TERMS}, x AS (SELECT example_id, (1 + ln(tf)) * idf AS v FROM tf JOIN df USING (term)),
 n AS (SELECT example_id, count(*) AS terms, sqrt(sum(v * v)) AS norm, sum(v) AS total FROM x GROUP BY example_id) SELECT example_id, terms, round(total / norm, 6) AS total FROM n""")
 def tfidf_weights(spark, sf):
+    return _block_weights(spark, sf, "word")
+
+
+CHARS = """g AS (SELECT example_id, ' ' || w || ' ' AS w FROM (SELECT example_id, unnest(regexp_split_to_array(lower(text), '[\\t-\\r \\x{85}\\p{Z}]+')) AS w FROM d) WHERE w <> ''),
+tf AS (SELECT example_id, term, count(*) AS tf FROM (SELECT example_id, unnest(flatten(list_transform(range(3, 6), lambda k: list_transform(range(1, greatest(length(w) - k + 2, 1)), lambda i: substr(w, i, k))))) AS term FROM g) GROUP BY ALL),
+df AS (SELECT term, ln((1.0 + (SELECT count(*) FROM d)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term HAVING count(*) >= 3)"""
+
+
+@query(f"""WITH {CORPUS}, {CHARS}, x AS (SELECT example_id, tf * idf AS v FROM tf JOIN df USING (term))
+SELECT example_id, count(*) AS terms, round(sum(v) / sqrt(sum(v * v)), 6) AS total FROM x GROUP BY example_id""")
+def tfidf_char_weights(spark, sf):
+    return _block_weights(spark, sf, "char")
+
+
+def _block_weights(spark, sf, block: str) -> DataFrame:
     docs = corpus(spark, sf)
     scratch = Scratch(spark, "tfidf-weights")
-    counts = scratch.table(tfidf.term_counts(docs).where("block = 'word'"), "counts")
+    counts = scratch.table(tfidf.term_counts(docs).where(F.col("block") == block), "counts")
     w = tfidf.weights(counts, tfidf.document_frequencies(counts, docs.count()))
     return w.groupBy(F.col("id").alias("example_id")).agg(F.count("*").alias("terms"), F.round(F.sum("value"), 6).alias("total"))
 

@@ -11,6 +11,7 @@ from goldpan import model
 from goldpan.model import LABELS
 from goldpan.operators import components, conflicts, metrics, near_dup, spans, splits, tfidf
 from goldpan.plans import cli, harness, registry, settings
+from goldpan.scratch import Scratch
 from goldpan.sources import readers, store, writers
 
 
@@ -529,6 +530,10 @@ def test_tfidf_learns_and_explains(spark):
     new = spark.createDataFrame([("a", "profit rose"), ("b", "losses widened"), ("c", ""), ("d", "the board met")], "example_id string, text string")
     got = {r["example_id"]: r["pred"] for r in system.predict(new).collect()}
     assert (got["a"], got["b"], got["d"]) == ("positive", "negative", "neutral") and got["c"] in LABELS
+    cells = tfidf.weights(tfidf.term_counts(df), system.vocabulary).groupBy("id").agg(F.collect_list(F.struct("at", "value")).alias("cells"))
+    y = df.select(F.col("example_id").alias("id"), F.substring("example_id", 2, 3).cast("double").alias("y"))
+    ml = system.model.transform(tfidf.vectors(y.join(cells, "id", "left"), system.vocabulary.count(), Scratch(spark, "test")))
+    assert {f"r{int(r['y']):03d}": LABELS[int(r["prediction"])] for r in ml.collect()} == {r["example_id"]: r["pred"] for r in system.predict(df).collect()}
     top = system.top_features(5).collect()
     assert len(top) == 15 and any("profit" in r["term"] for r in top if r["label"] == "positive")
     w = tfidf.weights(tfidf.term_counts(df), system.vocabulary).groupBy("id", "block").agg(F.sum(F.col("value") ** 2).alias("s"))
