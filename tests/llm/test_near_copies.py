@@ -194,6 +194,28 @@ def test_crowded_near_copies(spark):
     assert {r["o"] for r in found} == {i for i, g in want.items() if g}
 
 
+def test_line_dedup_counts_a_share_of_the_words(spark, monkeypatch):
+    """The order of tokens is taken from a share of the texts, the last join reads the sets that matter, all lines are held against all."""
+    rows = [r for r in documents() if len(r[1] or "") < 5000]
+    real, cells = line_dedup.marks.byte_table, {}
+
+    def byte_table(table, value, empty, bits, scratch, name):
+        cells[name] = table.count()
+        return real(table, value, empty, bits, scratch, name)
+
+    monkeypatch.setattr(line_dedup.marks, "byte_table", byte_table)
+    scratch = line_dedup.Scratch(spark, "line-dedup")
+    lines, found = line_dedup.find_sets(frame(spark, rows), 80, "doc_id", "text", line_dedup.CROWD, scratch)
+    assert 0 < cells["counts"] < sum(len(words(t or "")) for _, t, _ in rows) / 3
+    sets = lines.where("s is not null").groupBy("s").count().collect()
+    repeated, held = {r["s"] for r in sets if r["count"] > 1}, found.collect()
+    assert {r["s"] for r in held} == repeated | {r["s"] for r in held if r["gone"]} and len(held) < len(sets)
+    got = {i: set() for i in brute_lines(rows)}
+    for r in line_dedup.find_lines(frame(spark, rows)).where("removed").collect():
+        got[-1 if r["o"] == line_dedup.FIRST else r["o"]].add(r["no"])
+    assert {i: sorted(g) for i, g in got.items()} == brute_lines(rows)
+
+
 def test_deduped_texts_keep_columns(spark):
     rows = documents()
     out = line_dedup.dedup_lines(frame(spark, rows))
