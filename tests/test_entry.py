@@ -48,6 +48,15 @@ def test_query(spark, duck, name):
     assert values(rows, got.columns) == values(want.fetchall(), columns)
 
 
+def test_tokens_of_odd_texts(spark, tmp_path):
+    """Texts without a word, null, and letters that Java and SQL put in lower case differently."""
+    texts = ["", " ", "!?", "\u00e9", None, "\u0130stanbul A", "\u0391\u03a3 b", "One two 3 four five six"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = duckdb.sql(f"WITH documents AS (FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')) {own.ORACLE['tokens']}")
+    got = own.QUERIES["tokens"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall()) and got.columns == want.columns
+
+
 @pytest.mark.skipif(not SF.exists(), reason="no tables")
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
