@@ -1,6 +1,7 @@
 """Rows, near-duplicate groups, splits, metrics, the harness and what is around them."""
 
 import json
+import math
 import random
 
 import numpy as np
@@ -519,6 +520,22 @@ def test_grams(spark):
     assert got == [" ab", "ab ", " ab ", " x "]
 
 
+@pytest.mark.parametrize("k, looked_up", [(3, 10_000), (12, 10_000), (12, 2), (500, 10_000)])
+def test_top_terms_against_brute_force(spark, monkeypatch, k, looked_up):
+    monkeypatch.setattr(tfidf, "LOOKED_UP", looked_up)
+    rng = random.Random(2)
+    rows = [(f"r{i % 70:02d}", " ".join(rng.choice(["an", "be", "cat", "do", "e", "fish"]) for _ in range(rng.randint(0, 9)))) for i in range(75)] + [("x", None)]
+    terms = {}
+    for i, t in rows:
+        w = [x for x in (t or "").split() if len(x) > 1]
+        for term in w + [f"{a} {b}" for a, b in zip(w, w[1:])]:
+            terms.setdefault(term, set()).add(i)
+    want = sorted(((len(ids), t) for t, ids in terms.items() if len(ids) > 1), key=lambda x: (-x[0], x[1]))[:k]
+    got = tfidf.top_terms(spark.createDataFrame(rows, "example_id string, text string"), k).collect()
+    assert sorted(((r["df"], r["term"]) for r in got), key=lambda x: (-x[0], x[1])) == want
+    assert all(abs(r["idf"] - math.log(77 / (1 + r["df"])) - 1) < 1e-12 for r in got)
+
+
 def test_tfidf_learns_and_explains(spark):
     rng = random.Random(0)
     texts = {"positive": "profit rose strongly", "negative": "losses widened badly", "neutral": "the board met today"}
