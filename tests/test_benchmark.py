@@ -1,8 +1,11 @@
 """Rows, near-duplicate groups, splits, metrics, the harness and what is around them."""
 
 import json
+import itertools
 import math
 import random
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -88,6 +91,33 @@ def test_groups_against_brute_force(spark, cap):
     assert got == brute_groups(rows, cap=cap)
 
 
+def test_pairs_against_brute_force(spark):
+    rows = near_rows(6)
+    rows += [(f"g{k}", t) for k, (_, t) in enumerate(rows[:5])]
+    prints = {i: {" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set() for i, w in ((i, t.split()) for i, t in rows)}
+    held = Counter(s for p in prints.values() for s in p)
+    df = spark.createDataFrame(rows + rows[:3], "example_id string, text string")
+    for t in (0.3, 0.5, 0.8, 1.0):
+        want = {}
+        for a, b in itertools.combinations(sorted(prints), 2):
+            both = prints[a] & prints[b]
+            if any(held[s] <= 6 for s in both) and len(both) / len(prints[a] | prints[b]) >= t:
+                want[a, b] = len(both) / len(prints[a] | prints[b])
+        got = near_dup.similar_pairs(df, threshold=t, cap=6).collect()
+        assert len(got) == len(want) > 0 and all(abs(want[r["l"], r["r"]] - r["jaccard"]) < 1e-12 for r in got)
+
+
+def test_common_lines_and_copies_make_no_candidates(spark):
+    """A line that 100 rows share is no reason to compare them, and 100 copies are one row."""
+    own = [(f"r{i:03d}", "all of them share this line " + " ".join(f"w{i}x{j}" for j in range(30))) for i in range(100)]
+    copies = [(f"c{i:03d}", "one and the same text stands in many rows") for i in range(100)]
+    scratch = Scratch(spark, "test")
+    pairs = near_dup.similar_pairs(spark.createDataFrame(own + copies, "example_id string, text string"), scratch=scratch)
+    assert pairs.count() == 100 * 99 // 2
+    made = [spark.read.parquet(str(p)).count() for p in Path(scratch.root.removeprefix("file://")).glob("*-candidates")]
+    assert made == [0]
+
+
 def test_cap_is_inclusive(spark):
     for n, groups in ((200, 1), (201, 201)):
         rows = spark.createDataFrame([(f"r{i:03d}", "one shingle of five words") for i in range(n)], "example_id string, text string")
