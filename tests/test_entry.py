@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from goldpan.operators import term_weights
 from goldpan.plans import queries as own
 
 SF = Path("/root/testdata/sf0.001")
@@ -57,6 +58,21 @@ def test_tokens_of_odd_texts(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall()) and got.columns == want.columns
 
 
+@pytest.mark.parametrize("name", ["tfidf_weights", "tfidf_char_weights"])
+def test_term_weights_of_odd_texts(spark, tmp_path, monkeypatch, name):
+    """Wide and combining letters, odd white space, repeated ids, no term; terms in the broadcast and beyond it, few in a buffer."""
+    texts = ["", " ", None, "a", "\u0130stanbul \u0130stanbul x", "\u0391\u03a3 \u0391\u03a3", "\u4e2d\u6587\u5b57 \u4e2d\u6587\u5b57\u3000\u4e2d\u6587", "x\x1cyz x\u2003yz\x85yz", "ab \u2776cd \u2776cd e\u0301f", "\U0001f600\U0001f600\U0001f600 ab", "abc ab abcd"]
+    rows = [(i, t) for k in range(4) for i, t in enumerate(texts, 20 * k)] + [(0, "ab abc"), (10, "abcd ab")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = duckdb.sql(f"{own.ORACLE[name].replace('WITH ', f'WITH documents AS (FROM read_parquet({chr(39)}{tmp_path}/documents.parquet/*.parquet{chr(39)})), ', 1)}")
+    columns, want = want.columns, want.fetchall()
+    for held, buffer in ((1 << 20, 1 << 20), (6, 8), (0, 1)):
+        monkeypatch.setattr(term_weights, "HELD", held)
+        monkeypatch.setattr(term_weights, "BUFFER", buffer)
+        got = own.QUERIES[name](spark, str(tmp_path))
+        assert values(got.collect(), got.columns) == values(want, columns)
+
+
 @pytest.mark.skipif(not SF.exists(), reason="no tables")
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
